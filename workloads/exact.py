@@ -75,7 +75,7 @@ def per_query_label_top10(spark, sf):
     return i.shown(knn.exact_knn_by_label(base, queries, 10, universal="all", skip_same=True))
 
 
-RANGE = 1.1
+RANGE = 1.3
 
 
 @query("range_l2", f"WITH {i.SQL_VECTORS} SELECT qid, id, round(dist, 6) AS dist FROM ({ALL_L2}) WHERE dist <= {RANGE}")
