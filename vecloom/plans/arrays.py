@@ -128,3 +128,10 @@ class Block:
                 hit = d <= radius
                 out.append((qi[hit] + s, bi[hit], d[hit]))
         return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def add_exact(at: np.ndarray, n: int, rows: np.ndarray):
+    """Sums and counts of rows per key 0..n-1."""
+    sums = np.zeros((n, rows.shape[1]))
+    np.add.at(sums, at, rows)
+    return sums, np.bincount(at, minlength=n)

@@ -97,9 +97,12 @@ def _trim(found: pa.Table, k: int) -> pa.Table:
 def cell_pairs(
     base: DataFrame, queries: DataFrame, metric: str, k: int | None = None, radius: float | None = None,
     by: str | None = None, skip_same: bool = False, rows: Rows = vec_rows,
-    base_cell: int = BASE_CELL, query_cell: int = QUERY_CELL,
+    base_cell: int = BASE_CELL, query_cell: int = QUERY_CELL, keep_group: bool = False,
 ) -> DataFrame:
-    """Pairs of base and query rows of the same group ``by`` (or of all rows), cell by cell."""
+    """Pairs of base and query rows of the same group ``by`` (or of all rows), cell by cell.
+
+    ``keep_group`` adds the group to each pair.
+    """
     group = by or "_all"
     if by is None:
         base, queries = base.withColumn(group, F.lit(0)), queries.withColumn(group, F.lit(0))
@@ -125,17 +128,22 @@ def cell_pairs(
         .select(group, "_b", "_q", "qid", "qvec")
     )
 
-    def score(b: pa.Table, q: pa.Table) -> pa.Table:
+    def score(key, b, q):
         if b.num_rows == 0 or q.num_rows == 0:
-            return _pairs([], [], [])
-        block = Block(longs(b.column("id")), rows(b), metric)
-        return _score(block, longs(q.column("qid")), matrix(q.column("qvec")), k, radius, skip_same)
-
+            found = _pairs([], [], [])
+        else:
+            block = Block(longs(b.column("id")), rows(b), metric)
+            found = _score(block, longs(q.column("qid")), matrix(q.column("qvec")), k, radius, skip_same)
+        if keep_group:
+            found = found.append_column(group, pa.array([key[0].as_py()] * found.num_rows, key[0].type))
+        return found
+
+    schema = T.StructType([
+        T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("dist", T.DoubleType())])
+    if keep_group:
+        schema.add(T.StructField(group, base.schema[group].dataType))
     keys = [group, "_b", "_q"]
-    return (
-        left.groupBy(*keys).cogroup(right.groupBy(*keys))
-        .applyInArrow(score, "qid long, id long, dist double")
-    )
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
 def nearest_of_small(

@@ -26,7 +26,8 @@ def map_sorted_groups(
                 continue
             keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
             last = keys[-1]
-            cut = int(np.searchsorted(keys, last, side="left"))
+            others = np.flatnonzero(keys != last)
+            cut = int(others[-1]) + 1 if len(others) else 0
             if cut == 0:
                 if carried and carried_key != last:
                     yield from fn(pa.Table.from_batches(carried)).to_batches()
