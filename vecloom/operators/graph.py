@@ -60,18 +60,19 @@ def link(candidates: DataFrame, vectors: DataFrame, R: int, group: str | None =
     return cap_degree(add_reverse(forward, group), vectors, R, 1.0, group, **prune)
 
 
-def _members(points: DataFrame, shard_map: DataFrame | None) -> DataFrame:
+def _members(points: DataFrame, shard_map: DataFrame | None) -> tuple[DataFrame, bool]:
+    """``(shard, id, vec)``, and whether there is more than one shard."""
     if shard_map is None:
         n = points.count()
         if n <= SHARD_ROWS:
-            return points.select(F.lit(0).cast("long").alias("shard"), "id", "vec")
+            return points.select(F.lit(0).cast("long").alias("shard"), "id", "vec"), False
         from .shards import partition_with_budget, shard_bytes, shard_points
         dim = len(points.select("vec").first()[0])
         centers, _ = partition_with_budget(
             points, shard_bytes(SHARD_ROWS, dim, DEFAULTS["degree"]), DEFAULTS["degree"],
             rate=min(1.0, DEFAULTS["pq_train_rows"] / n))
         shard_map = shard_points(points, centers)
-    return shard_map.select("shard", "id").join(points.select("id", "vec"), "id")
+    return stored(shard_map.select("shard", "id").join(points.select("id", "vec"), "id"), "members"), True
 
 
 def _bridges(members: DataFrame, metric: str, near: int = 16) -> DataFrame | None:
@@ -105,9 +106,9 @@ def build_graph(
     under each label, and pruning keeps label paths. ``refine`` rounds search the graph for every
     point and prune again over what the search met.
     """
-    members = stored(_members(points, shard_map), "members")
+    members, several = _members(points, shard_map)
     candidates = group_candidates(members, L, metric).select("src", "dst", "dist")
-    bridges = _bridges(members, metric)
+    bridges = _bridges(members, metric) if several else None
     if bridges is not None:
         candidates = candidates.unionByName(bridges)
     if labels:
@@ -135,7 +136,7 @@ def build_sharded(
     *, shard_map: DataFrame | None = None, seed: int = 0,
 ) -> DataFrame:
     """One graph per overlapping shard with degree 2R/3, merged to at most R edges per point."""
-    members = stored(_members(points, shard_map), "members")
+    members, _ = _members(points, shard_map)
     candidates = group_candidates(members, L, metric)
     edges = link(candidates, points, max(1, 2 * R // 3), "shard", alpha=alpha, metric=metric)
     return merge_graphs(edges, R, seed)

@@ -12,14 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import DEFAULTS
 from ..functions.distances import distance
 from ..functions.validate import list_size
 from ..plans.arrays import longs, matrix, one_array, pair_distance, rank_in_group
-from ..plans.scratch import small_or_same, stored
+from ..plans.scratch import compute_partitions, small_or_same, stored
 from .graph import adjacency
 from .knn import merge_topk, rank_results
 from .labels import labels_match
@@ -91,7 +91,7 @@ def _advance(metric: str, W: int, book):
             return state.select([f.split()[0] for f in STATE.split(", ")])
         qids = longs(state.column("qid"))
         by_id = np.argsort(qids)
-        owner = by_id[np.searchsorted(qids, longs(scored.column("qid")), sorter=by_id)] if scored.num_rows else np.empty(0, np.int64)
+        owner = by_id[np.searchsorted(qids, longs(scored.column("scored_for")), sorter=by_id)] if scored.num_rows else np.empty(0, np.int64)
         ids = longs(scored.column("id"))
         if scored.num_rows:
             q = matrix(state.column("qvec"))
@@ -184,25 +184,35 @@ def graph_search(
         F.lit(0).alias("n_rounds"),
     )
     step = _advance(metric, W, book)
-    bucket = F.pmod(F.xxhash64("qid"), F.lit(calls)).cast("int")
 
-    def move(state: DataFrame, fresh: DataFrame, nodes: DataFrame) -> DataFrame:
+    def bucket(qid: str):
+        return F.pmod(F.xxhash64(qid), F.lit(calls)).cast("int")
+
+    parts = compute_partitions(queries.sparkSession)
+
+    def move(state: DataFrame, fresh: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
+        """The next state, and how many queries still have points to expand."""
         pairs = fresh.select("qid", F.explode("fresh").alias("id"))
         scored = pairs.join(nodes, "id")
         if filtered:
             scored = scored.join(labels, "qid").where(labels_match(F.col("labels"), F.array("label"), universal))
-        scored = scored.select("qid", "id", "payload")
-        return stored(
-            state.groupBy(bucket.alias("bucket"))
-            .cogroup(scored.groupBy(bucket.alias("bucket"))).applyInArrow(step, STATE), "walk")
+        scored = scored.select(F.col("qid").alias("scored_for"), "id", "payload")
+        seen = Observation()
+        moved = (
+            state.withColumn("bucket", bucket("qid")).repartition(parts, "bucket").groupBy("bucket")
+            .cogroup(scored.withColumn("for_bucket", bucket("scored_for")).repartition(parts, "for_bucket").groupBy("for_bucket"))
+            .applyInArrow(step, STATE).observe(seen, F.count_if(F.size("chosen") > 0).alias("active"))
+        )
+        moved = stored(moved, "walk")
+        return moved, seen.get["active"]
 
     done: list[DataFrame] = []
-    state = move(state, first, near_nodes)
+    state, n_active = move(state, first, near_nodes)
     rounds = 0
     while True:
         done.append(state.where(F.size("chosen") == 0))
         active = state.where(F.size("chosen") > 0)
-        if active.isEmpty():
+        if n_active == 0:
             break
         if max_rounds is not None and rounds >= max_rounds:
             done.append(active)
@@ -219,7 +229,7 @@ def graph_search(
         if rounds == 0:
             reach = small_or_same(nodes.join(
                 near_graph.select(F.explode("nbrs").alias("id")).distinct(), "id", "left_semi"))
-        state = move(active, fresh, reach)
+        state, n_active = move(active, fresh, reach)
         rounds += 1
     out = done[0]
     for part in done[1:]:

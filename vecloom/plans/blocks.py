@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import Block, longs, matrix, rank_in_group
-from .scratch import fetch_bounded, small_or_same
+from .scratch import compute_partitions, fetch_bounded, small_or_same
 
 BASE_CELL = 32_768        # base rows per cell
 QUERY_CELL = 8_192        # query rows per cell
@@ -125,7 +125,8 @@ def cell_pairs(
         queries.join(cells, group)
         .withColumn("_q", F.pmod(F.xxhash64("qid"), F.col("_query_cells")).cast("int"))
         .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_base_cells") - 1)))
-        .select(group, "_b", "_q", "qid", "qvec")
+        # new column names: both sides may come from one table
+        .select(F.col(group).alias("_q_group"), F.col("_b").alias("_q_b"), F.col("_q").alias("_q_q"), "qid", "qvec")
     )
 
     def score(key, b, q):
@@ -142,8 +143,14 @@ def cell_pairs(
         T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("dist", T.DoubleType())])
     if keep_group:
         schema.add(T.StructField(group, base.schema[group].dataType))
-    keys = [group, "_b", "_q"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
+    # A fixed number of partitions: cells are few bytes but much arithmetic, and would be coalesced.
+    n = compute_partitions(base.sparkSession)
+    mine, theirs = [group, "_b", "_q"], ["_q_group", "_q_b", "_q_q"]
+    return (
+        left.repartition(n, *mine).groupBy(*mine)
+        .cogroup(right.repartition(n, *theirs).groupBy(*theirs))
+        .applyInArrow(score, schema)
+    )
 
 
 def nearest_of_small(

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import compute_partitions
+
 
 def map_sorted_groups(
     df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table], pa.Table], schema: str,
@@ -41,4 +43,5 @@ def map_sorted_groups(
         if carried:
             yield from fn(pa.Table.from_batches(carried)).to_batches()
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    n = compute_partitions(df.sparkSession)
+    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

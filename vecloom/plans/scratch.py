@@ -54,3 +54,8 @@ def small_or_same(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if table is None:
         return stored(df, "table")
     return df.sparkSession.createDataFrame(table, schema=df.schema)
+
+
+def compute_partitions(spark: SparkSession) -> int:
+    """Partitions for shuffles that feed Python arithmetic: the session's setting, uncoalesced."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,8 +18,12 @@ K = 10
 
 def built(spark, sf, R=24, L=50, **options):
     """Edges over all embeddings, and the medoid as entry."""
-    base = i.labelled(spark, sf) if options.get("labels") else i.vectors(spark, sf)
-    return graph.build_graph(base, R=R, L=L, **options), stored(shards.medoid(base).select("id"), "entry")
+
+    def make():
+        base = i.labelled(spark, sf) if options.get("labels") else i.vectors(spark, sf)
+        return graph.build_graph(base, R=R, L=L, **options), stored(shards.medoid(base).select("id"), "entry")
+
+    return i.once(spark, sf, f"graph {R} {L} {sorted(options.items())}", make)
 
 
 def _recall_row(found, truth, bound):
@@ -33,7 +37,7 @@ REACHED = "SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings"
 def graph_search(spark, sf):
     base, queries = i.vectors(spark, sf), i.all_queries(spark, sf)
     edges, entry = built(spark, sf)
-    walk = search.graph_search(edges, base, queries, entry, K, 64)
+    walk = search.graph_search(edges, base, queries, entry, K, 48, W=24)
     return _recall_row(walk.results(K, skip_same=True), exact_knn(base, queries, K, skip_same=True), 95)
 
 
@@ -66,7 +70,7 @@ def graph_search_mips(spark, sf):
     lifted = stored(mips_to_l2_base(base).drop("max_norm"), "lifted")
     edges = graph.build_graph(lifted, R=24, L=50)
     entry = shards.medoid(lifted).select("id")
-    walk = search.graph_search(edges, lifted, mips_to_l2_query(queries), entry, K, 64)
+    walk = search.graph_search(edges, lifted, mips_to_l2_query(queries), entry, K, 48, W=24)
     scored = mips_restore(walk.lists.where("qid <> id"), base, queries).select("qid", "id", (-F.col("score")).alias("dist"))
     from vecloom.operators.knn import rank_results
     return _recall_row(rank_results(scored, K), exact_knn(base, queries, K, "mips", skip_same=True), 90)
@@ -78,7 +82,7 @@ def filtered_graph_search(spark, sf):
     queries = base.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("labels")[0].alias("label"))
     edges, entry = built(spark, sf, labels=True)
     starts = labels.query_label_starts(labels.label_entry_points(base))
-    walk = search.graph_search(edges, base, queries, entry, K, 64, starts=starts, universal="all")
+    walk = search.graph_search(edges, base, queries, entry, K, 48, W=24, starts=starts, universal="all")
     found = stored(walk.results(K, skip_same=True), "found")
     truth = exact_knn_by_label(base, queries, K, universal="all", skip_same=True)
     ok = found.join(base.select("id", "labels"), "id").join(queries.select("qid", "label"), "qid").agg(
@@ -93,7 +97,7 @@ def stitched_graph_search(spark, sf):
     edges = graph.build_stitched(base, R=16, L=40, R_stitched=24)
     starts = labels.query_label_starts(labels.label_entry_points(base))
     entry = stored(shards.medoid(base).select("id"), "entry")
-    walk = search.graph_search(edges, base, queries, entry, K, 64, starts=starts)
+    walk = search.graph_search(edges, base, queries, entry, K, 48, W=24, starts=starts)
     return _recall_row(walk.results(K, skip_same=True), exact_knn_by_label(base, queries, K, skip_same=True), 90)
 
 
@@ -102,7 +106,7 @@ def search_hides_deleted(spark, sf):
     base, queries = i.vectors(spark, sf), i.all_queries(spark, sf)
     live = i.table(spark, sf, "embeddings").where("label <> 4").select(F.col("vec_id").alias("id"), (F.col("vec_id") + 1).alias("tag"))
     edges, entry = built(spark, sf)
-    walk = search.graph_search(edges, base, queries, entry, K, 64)
+    walk = search.graph_search(edges, base, queries, entry, K, 48, W=24)
     found = stored(search.search_live(walk, live, K, skip_same=True), "found")
     truth = exact_knn(base, queries, K, tags=live, skip_same=True)
     shown = found.join(live.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("deleted_shown"))
