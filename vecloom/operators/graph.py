@@ -9,7 +9,7 @@ from .. import DEFAULTS
 from ..functions.hashing import seeded_order
 from ..plans.blocks import cell_pairs, nearest_of_small
 from ..plans.scratch import stored
-from .labels import point_labels
+from .labels import expand_universal, point_labels
 from .prune import robust_prune
 from .shards import medoid, small_centers
 
@@ -103,9 +103,12 @@ def build_graph(
     """Edges of a graph over ``points(id, vec[, labels])`` with at most R edges per point.
 
     Candidates are the L nearest rows in each overlapping shard; with ``labels`` also the L nearest
-    under each label, and pruning keeps label paths. ``refine`` rounds search the graph for every
+    under each label, and pruning keeps label paths; points with the ``universal`` label count as
+    carrying every label. ``refine`` rounds search the graph for every
     point and prune again over what the search met.
     """
+    if labels and universal is not None:
+        points = stored(expand_universal(points, universal), "points")
     members, several = _members(points, shard_map)
     candidates = group_candidates(members, L, metric).select("src", "dst", "dist")
     bridges = _bridges(members, metric) if several else None

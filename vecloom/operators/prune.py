@@ -36,18 +36,16 @@ def robust_prune(
     pool = pool.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= maxc).drop("_n")
     extra = ["labels"] if guard else []
     rows = pool.join(vectors.select(F.col("id").alias("dst"), "vec", *extra), "dst")
-    key = F.col("src") if group is None else F.concat_ws("|", F.col(group).cast("string"), F.col("src").cast("string"))
-    rows = rows.withColumn("_key", key)
     limit = np.float32(alpha)
 
     def prune(table: pa.Table) -> pa.Table:
-        keys = one_array(table.column("_key")).to_numpy(zero_copy_only=False)
+        keys = [one_array(table.column(c)).to_numpy(zero_copy_only=False) for c in by]
         d = one_array(table.column("dist")).to_numpy()
         x = matrix(table.column("vec"))
         labels = [set(v) for v in table.column("labels").to_pylist()] if guard else None
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in keys])])
         kept = []
-        for a, b in zip(starts, np.r_[starts[1:], len(keys)]):
+        for a, b in zip(starts, np.r_[starts[1:], len(d)]):
             chosen = _prune_one(d[a:b], x[a:b], R, limit, metric, labels[a:b] if guard else None)
             if saturate and limit > 1 and len(chosen) < R:
                 rest = np.setdiff1d(np.arange(b - a), chosen)[:R - len(chosen)]
@@ -57,7 +55,7 @@ def robust_prune(
 
     schema = T.StructType([rows.schema[c] for c in [*by, "dst", "dist"]])
     return map_sorted_groups(
-        rows.select("_key", *by, "dst", "dist", "vec", *extra), "_key", ["dist", "dst"], prune, schema)
+        rows.select(*by, "dst", "dist", "vec", *extra), by, ["dist", "dst"], prune, schema)
 
 
 def _prune_one(d, x, R: int, alpha, metric: str, labels) -> np.ndarray:

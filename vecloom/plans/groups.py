@@ -7,17 +7,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .scratch import compute_partitions
 
 
 def map_sorted_groups(
-    df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table], pa.Table], schema: str,
+    df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], pa.Table], schema: T.StructType,
 ) -> DataFrame:
-    """Hash ``df`` by ``key``, sort by key and ``order``, and call ``fn`` on tables of complete groups.
+    """Hash ``df`` by ``keys``, sort by keys and ``order``, and call ``fn`` on tables of complete groups.
 
     Only the last, unfinished group of an Arrow batch is carried over, so memory holds one batch
-    and one group. Callers bound the group size.
+    and one group. Callers bound the group size. When a window has already placed the rows this
+    way, Spark drops the shuffle and the sort.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,9 +28,9 @@ def map_sorted_groups(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-            last = keys[-1]
-            others = np.flatnonzero(keys != last)
+            columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+            last = tuple(c[-1] for c in columns)
+            others = np.flatnonzero(np.logical_or.reduce([c != v for c, v in zip(columns, last)]))
             cut = int(others[-1]) + 1 if len(others) else 0
             if cut == 0:
                 if carried and carried_key != last:
@@ -44,4 +46,4 @@ def map_sorted_groups(
             yield from fn(pa.Table.from_batches(carried)).to_batches()
 
     n = compute_partitions(df.sparkSession)
-    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

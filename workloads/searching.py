@@ -70,7 +70,7 @@ def graph_search_mips(spark, sf):
     lifted = stored(mips_to_l2_base(base).drop("max_norm"), "lifted")
     edges = graph.build_graph(lifted, R=24, L=50)
     entry = shards.medoid(lifted).select("id")
-    walk = search.graph_search(edges, lifted, mips_to_l2_query(queries), entry, K, 48, W=24)
+    walk = search.graph_search(edges, lifted, mips_to_l2_query(queries), entry, K, 80, W=32)
     scored = mips_restore(walk.lists.where("qid <> id"), base, queries).select("qid", "id", (-F.col("score")).alias("dist"))
     from vecloom.operators.knn import rank_results
     return _recall_row(rank_results(scored, K), exact_knn(base, queries, K, "mips", skip_same=True), 90)
@@ -80,9 +80,9 @@ def graph_search_mips(spark, sf):
 def filtered_graph_search(spark, sf):
     base = i.labelled(spark, sf)
     queries = base.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("labels")[0].alias("label"))
-    edges, entry = built(spark, sf, labels=True)
-    starts = labels.query_label_starts(labels.label_entry_points(base))
-    walk = search.graph_search(edges, base, queries, entry, K, 48, W=24, starts=starts, universal="all")
+    edges, entry = built(spark, sf, labels=True, universal="all")
+    starts = labels.query_label_starts(labels.label_entry_points(labels.expand_universal(base, "all")))
+    walk = search.graph_search(edges, base, queries, entry, K, 64, W=32, starts=starts, universal="all")
     found = stored(walk.results(K, skip_same=True), "found")
     truth = exact_knn_by_label(base, queries, K, universal="all", skip_same=True)
     ok = found.join(base.select("id", "labels"), "id").join(queries.select("qid", "label"), "qid").agg(
