@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distances import vec_norm
-from ..plans.numbering import number_rows
+from ..plans.numbering import running_total
+from ..plans.scratch import stored
 
 
 def _truth_with_ties(truth: DataFrame, r: int) -> DataFrame:
@@ -84,12 +85,18 @@ def range_ratio(results: DataFrame, truth: DataFrame) -> DataFrame:
         "size_ratio", F.col("returned") / F.nullif(F.col("expected"), F.lit(0)))
 
 
-def _ranked_values(df: DataFrame, value: str, fractions: list[float]) -> tuple[DataFrame, int]:
-    numbered = number_rows(df.select(value), [value], "_pos")
-    n = numbered.count()
+def _ranked_values(df: DataFrame, value: str, fractions: list[float]) -> DataFrame:
+    """``(fraction, value)`` with value = sorted[floor(fraction * n)], 1 being the last.
+
+    Equal values are counted before the sort, so a value held by very many rows is one row.
+    """
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = stored(running_total(counts, [value], "_n", "_before"), "ranked")
+    n = ranked.agg(F.sum("_n")).first()[0] or 0
     marks = [(float(f), min(int(f * n + 1e-9), n - 1)) for f in fractions if n]
-    return numbered.join(
-        F.broadcast(df.sparkSession.createDataFrame(marks, "fraction double, _pos long")), "_pos"), n
+    marks = df.sparkSession.createDataFrame(marks, "fraction double, _pos long")
+    holds = (F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_n"))
+    return ranked.join(F.broadcast(marks), holds).select("fraction", value)  # a row per fraction is sent
 
 
 def query_stats(stats: DataFrame, columns: list[str], fractions: list[float]) -> DataFrame:
@@ -98,7 +105,7 @@ def query_stats(stats: DataFrame, columns: list[str], fractions: list[float]) ->
     means = stats.agg(*[F.avg(c).alias(c) for c in columns])
     for c in columns:
         mean = means.select(F.lit("mean").alias("stat"), F.lit(c).alias("column"), F.col(c).alias("value"))
-        picked, _ = _ranked_values(stats.select(F.col(c).cast("double").alias("value")), "value", fractions)
+        picked = _ranked_values(stats.select(F.col(c).cast("double").alias("value")), "value", fractions)
         part = mean.unionByName(picked.select(
             F.format_string("p%.3f", "fraction").alias("stat"),
             F.lit(c).alias("column"), "value"))
@@ -109,7 +116,7 @@ def query_stats(stats: DataFrame, columns: list[str], fractions: list[float]) ->
 def norm_percentiles(df: DataFrame) -> DataFrame:
     """``(percent, norm)`` for 0, 5, ..., 100; 100 is the largest."""
     fractions = [i / 20 for i in range(21)]
-    picked, _ = _ranked_values(df.select(vec_norm("vec").alias("norm")), "norm", fractions)
+    picked = _ranked_values(df.select(vec_norm("vec").alias("norm")), "norm", fractions)
     return picked.select(F.round(F.col("fraction") * 100).cast("int").alias("percent"), "norm")
 
 

@@ -97,7 +97,8 @@ def _bridges(members: DataFrame, metric: str, near: int = 16) -> DataFrame | Non
 
 def build_graph(
     points: DataFrame, R: int = DEFAULTS["degree"], L: int = DEFAULTS["build_list"], alpha: float = DEFAULTS["alpha"],
-    metric: str = "l2", *, shard_map: DataFrame | None = None, labels: bool = False, saturate: bool = False,
+    metric: str = "l2", *, shard_map: DataFrame | None = None, labels: bool = False, universal: str | None = None,
+    saturate: bool = False,
     maxc: int = DEFAULTS["max_candidates"], refine: int = 0,
 ) -> DataFrame:
     """Edges of a graph over ``points(id, vec[, labels])`` with at most R edges per point.

@@ -18,6 +18,7 @@ from .search import graph_search
 from .shards import cluster_order
 
 RESERVED_TAG = 0
+CHUNK = 65_536  # ops of one piece of history
 
 
 def refusal(filtered: bool = False, labels: str = "labels") -> Column:
@@ -36,7 +37,7 @@ def resolve_ops(live: DataFrame, ops: DataFrame, filtered: bool = False, chunk:
     many ops is cut into ``chunk`` pieces of its history: each piece starts from the last op of the
     piece before, and windows run inside pieces only.
     """
-    chunk = F.lit(0) if chunk is None else chunk
+    chunk = F.floor(F.col("seq") / CHUNK) if chunk is None else chunk
     ops = ops.withColumn("_refused", F.when(F.col("op") == "insert", refusal(filtered))).withColumn("_chunk", chunk)
     valid = ops.where(F.col("_refused").isNull())
     lasts = valid.groupBy("tag", "_chunk").agg(F.max_by("op", "seq").alias("_last"))

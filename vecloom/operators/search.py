@@ -26,6 +26,7 @@ from .labels import labels_match
 
 QUERIES_PER_CALL = 64
 MAX_ENTRIES = 1_000
+FIRST_HOP_ROWS = 10_000  # start points and their neighbours are sent to every task up to this many
 FRESH, EXPANDED, CHOSEN = 0, 1, 2
 
 STATE = (
@@ -172,8 +173,8 @@ def graph_search(
                                  F.coalesce("starts", F.array().cast("array<long>"))).alias("fresh"))
     first = stored(first, "first")
     start_ids = first.select(F.explode("fresh").alias("id")).distinct()
-    near_nodes = small_or_same(nodes.join(start_ids, "id", "left_semi"))
-    near_graph = small_or_same(graph.join(start_ids, graph.src == start_ids.id, "left_semi"))
+    near_nodes = small_or_same(nodes.join(start_ids, "id", "left_semi"), FIRST_HOP_ROWS)
+    near_graph = small_or_same(graph.join(start_ids, graph.src == start_ids.id, "left_semi"), FIRST_HOP_ROWS)
     labels = small_or_same(queries.select("qid", "label")) if filtered else None
 
     empty_long, empty_double = F.array().cast("array<long>"), F.array().cast("array<double>")
@@ -228,7 +229,7 @@ def graph_search(
         reach = nodes
         if rounds == 0:
             reach = small_or_same(nodes.join(
-                near_graph.select(F.explode("nbrs").alias("id")).distinct(), "id", "left_semi"))
+                near_graph.select(F.explode("nbrs").alias("id")).distinct(), "id", "left_semi"), FIRST_HOP_ROWS)
         state, n_active = move(active, fresh, reach)
         rounds += 1
     out = done[0]

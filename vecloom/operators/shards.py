@@ -17,7 +17,7 @@ from ..functions.transforms import normalized
 from ..plans.arrays import Block, longs, matrix
 from ..plans.blocks import BROADCAST_BYTES, cell_pairs, nearest_of_small
 from ..plans.numbering import number_rows
-from ..plans.scratch import fetch_bounded, stored
+from ..plans.scratch import fetch_bounded, small_or_same, stored
 from ..plans.sums import add_rows, group_sums, vector_means
 from .knn import exact_knn, rank_results
 
@@ -61,7 +61,7 @@ def assign_centers(
 def inverted_lists(assigned: DataFrame) -> DataFrame:
     """``(cid, pos, id)``: members of each centre in id order, one row each, so a hot centre stays spread."""
     rows = number_rows(assigned.select("cid", "id"), ["cid", "id"], "_at")
-    first = rows.groupBy("cid").agg(F.min("_at").alias("_first"))
+    first = small_or_same(rows.groupBy("cid").agg(F.min("_at").alias("_first")))
     return rows.join(first, "cid").select("cid", (F.col("_at") - F.col("_first")).alias("pos"), "id")
 
 

@@ -34,3 +34,19 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str = "pos", sta
         .drop("_part", "_mono", "_offset")
     )
 
+
+
+def running_total(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
+    """Add ``name``: sum of ``amount`` over all rows before this one in the global ``order``."""
+    ordered = stored(df.orderBy(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ordered.groupBy("_part").agg(F.sum(amount).alias("_s"))
+        .withColumn("_offset", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")  # one row per partition
+    )
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ordered.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_in") + F.col("_offset")).drop("_part", "_in", "_offset")
+    )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,12 +49,12 @@ def fetch_bounded(df: DataFrame, max_rows: int):
     return table if table.num_rows <= max_rows else None
 
 
-def small_or_same(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Replace ``df`` by a local table when it is small enough to be broadcast; else store it."""
+def small_or_same(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` as a local table marked for broadcast when its size, checked here, allows; else stored."""
     table = fetch_bounded(df, max_rows)
-    if table is None:
+    if table is None or table.nbytes > max_bytes:
         return stored(df, "table")
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+    return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
 
 
 def compute_partitions(spark: SparkSession) -> int:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,13 +28,14 @@ class OpLog:
     spark: SparkSession
     path: str
 
+    def create(self) -> OpLog:
+        """Lay down the folders (with an empty batch -1), so reading never meets a missing one."""
+        for part, schema, first in (("base", LOG, "upto"), ("log", LOG, "batch_id"), ("status", STATUS, "batch_id")):
+            self.spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{part}/{first}=-1")
+        return self
+
     def _read(self, part: str, schema: str, key: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(f"{schema}, {key} long").parquet(f"{self.path}/{part}")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], f"{schema}, {key} long")
+        return self.spark.read.schema(f"{schema}, {key} long").parquet(f"{self.path}/{part}")
 
     def base_upto(self, before: int) -> int:
         """Number of the last batch folded into a base that is older than batch ``before``, or -1."""
@@ -73,7 +73,7 @@ class OpLog:
         """Accept the valid ops of one micro-batch; running it again gives the same files."""
         touched = ops.select("tag").distinct()
         live = self.live_tags(batch_id).join(touched, "tag", "left_semi")
-        resolved = stored(resolve_ops(live, ops, filtered, chunk=F.floor(F.col("seq") / 65_536)), "ops")
+        resolved = stored(resolve_ops(live, ops, filtered), "ops")
         accepted = resolved.where("status = 'ok'").select("tag", "op", "seq", "vec", "labels")
         accepted.write.mode("overwrite").parquet(f"{self.path}/log/batch_id={batch_id}")
         resolved.select("tag", "op", "seq", "status").write.mode("overwrite").parquet(
@@ -96,7 +96,7 @@ def run_ops(
     log is folded into a base.
     """
     spark = stream.sparkSession
-    log = OpLog(spark, path)
+    log = OpLog(spark, path).create()
     once = stream
     if watermark is not None:
         once = stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["op_id"])
@@ -121,7 +121,7 @@ def active_window(
     the window is deleted in the same batch.
     """
     spark = stream.sparkSession
-    log = OpLog(spark, path)
+    log = OpLog(spark, path).create()
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         top = log.statuses().where((F.col("batch_id") < batch_id) & (F.col("op") == "insert")).agg(F.max("seq")).first()[0]

@@ -80,7 +80,7 @@ def graph_search_mips(spark, sf):
 def filtered_graph_search(spark, sf):
     base = i.labelled(spark, sf)
     queries = base.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("labels")[0].alias("label"))
-    edges, entry = built(spark, sf, labels=True, universal="all")
+    edges, entry = built(spark, sf, R=64, labels=True, universal="all")
     starts = labels.query_label_starts(labels.label_entry_points(labels.expand_universal(base, "all")))
     walk = search.graph_search(edges, base, queries, entry, K, 64, W=32, starts=starts, universal="all")
     found = stored(walk.results(K, skip_same=True), "found")
