@@ -138,7 +138,7 @@ def _advance(metric: str, W: int, book):
 
 def graph_search(
     edges: DataFrame, nodes: DataFrame, queries: DataFrame, entries: DataFrame, k: int,
-    L: int | None = DEFAULTS["search_list"], *, W: int = 16, metric: str = "l2", starts: DataFrame | None = None,
+    L: int | None = DEFAULTS["search_list"], *, W: int = 32, metric: str = "l2", starts: DataFrame | None = None,
     universal: str | None = None, quantizer=None, max_rounds: int | None = None,
 ) -> Walk:
     """Walk ``edges(src, dst)`` (or ``(src, nbrs)``) from ``entries(id)`` for ``queries(qid, qvec)``.

@@ -37,7 +37,7 @@ REACHED = "SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings"
 def graph_search(spark, sf):
     base, queries = i.vectors(spark, sf), i.all_queries(spark, sf)
     edges, entry = built(spark, sf)
-    walk = search.graph_search(edges, base, queries, entry, K, 48, W=24)
+    walk = search.graph_search(edges, base, queries, entry, K, 48, W=48)
     return _recall_row(walk.results(K, skip_same=True), exact_knn(base, queries, K, skip_same=True), 95)
 
 
@@ -46,7 +46,7 @@ def graph_search_self(spark, sf):
     """Every vector finds itself first."""
     base, queries = i.vectors(spark, sf), i.all_queries(spark, sf)
     edges, entry = built(spark, sf)
-    return search.graph_search(edges, base, queries, entry, 1, 48).results(1).select("qid", "id", i.r6("dist").alias("dist"))
+    return search.graph_search(edges, base, queries, entry, 1, 48, W=48).results(1).select("qid", "id", i.r6("dist").alias("dist"))
 
 
 @query("graph_search_trace", "SELECT vec_id AS qid, true AS starts_at_entry, true AS no_repeats, true AS counts_agree FROM embeddings")
@@ -70,7 +70,7 @@ def graph_search_mips(spark, sf):
     lifted = stored(mips_to_l2_base(base).drop("max_norm"), "lifted")
     edges = graph.build_graph(lifted, R=24, L=50)
     entry = shards.medoid(lifted).select("id")
-    walk = search.graph_search(edges, lifted, mips_to_l2_query(queries), entry, K, 80, W=32)
+    walk = search.graph_search(edges, lifted, mips_to_l2_query(queries), entry, K, 80, W=80)
     scored = mips_restore(walk.lists.where("qid <> id"), base, queries).select("qid", "id", (-F.col("score")).alias("dist"))
     from vecloom.operators.knn import rank_results
     return _recall_row(rank_results(scored, K), exact_knn(base, queries, K, "mips", skip_same=True), 90)
@@ -82,7 +82,7 @@ def filtered_graph_search(spark, sf):
     queries = base.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("labels")[0].alias("label"))
     edges, entry = built(spark, sf, R=64, labels=True, universal="all")
     starts = labels.query_label_starts(labels.label_entry_points(labels.expand_universal(base, "all")))
-    walk = search.graph_search(edges, base, queries, entry, K, 64, W=32, starts=starts, universal="all")
+    walk = search.graph_search(edges, base, queries, entry, K, 64, W=64, starts=starts, universal="all")
     found = stored(walk.results(K, skip_same=True), "found")
     truth = exact_knn_by_label(base, queries, K, universal="all", skip_same=True)
     ok = found.join(base.select("id", "labels"), "id").join(queries.select("qid", "label"), "qid").agg(
@@ -97,7 +97,7 @@ def stitched_graph_search(spark, sf):
     edges = graph.build_stitched(base, R=16, L=40, R_stitched=24)
     starts = labels.query_label_starts(labels.label_entry_points(base))
     entry = stored(shards.medoid(base).select("id"), "entry")
-    walk = search.graph_search(edges, base, queries, entry, K, 48, W=24, starts=starts)
+    walk = search.graph_search(edges, base, queries, entry, K, 48, W=48, starts=starts)
     return _recall_row(walk.results(K, skip_same=True), exact_knn_by_label(base, queries, K, skip_same=True), 90)
 
 
@@ -106,7 +106,7 @@ def search_hides_deleted(spark, sf):
     base, queries = i.vectors(spark, sf), i.all_queries(spark, sf)
     live = i.table(spark, sf, "embeddings").where("label <> 4").select(F.col("vec_id").alias("id"), (F.col("vec_id") + 1).alias("tag"))
     edges, entry = built(spark, sf)
-    walk = search.graph_search(edges, base, queries, entry, K, 48, W=24)
+    walk = search.graph_search(edges, base, queries, entry, K, 48, W=48)
     found = stored(search.search_live(walk, live, K, skip_same=True), "found")
     truth = exact_knn(base, queries, K, tags=live, skip_same=True)
     shown = found.join(live.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("deleted_shown"))
@@ -119,7 +119,7 @@ def beam_search(spark, sf):
     edges, entry = built(spark, sf)
     q = pq_train(base, 16, seed=2)
     codes = stored(pq_encode(base, q), "codes")
-    found, _ = search.beam_search(edges, codes, base, queries, entry, q, K, 64, W=16, skip_same=True)
+    found, _ = search.beam_search(edges, codes, base, queries, entry, q, K, 48, W=48, skip_same=True)
     return _recall_row(found, exact_knn(base, queries, K, skip_same=True), 90)
 
 
@@ -127,7 +127,7 @@ def beam_search(spark, sf):
 def graph_range_search(spark, sf):
     base, queries = i.vectors(spark, sf), i.all_queries(spark, sf)
     edges, entry = built(spark, sf)
-    found = stored(search.graph_range_search(edges, base, queries, entry, 1.4, 24, 96, skip_same=True), "found")
+    found = stored(search.graph_range_search(edges, base, queries, entry, 1.4, 24, 96, W=48, skip_same=True), "found")
     truth = stored(range_join(base, queries, 1.4, skip_same=True), "truth")
     extra = found.join(truth, ["qid", "id"], "left_anti").agg(F.count(F.lit(1)).alias("extra"))
     share = evaluate.range_recall(found, truth, queries)
@@ -138,7 +138,7 @@ def graph_range_search(spark, sf):
 def sweep(spark, sf):
     base, queries = i.vectors(spark, sf), i.all_queries(spark, sf)
     edges, entry = built(spark, sf)
-    found, stats = search.sweep(edges, base, queries, entry, K, [4, 16, 32, 64], skip_same=True)
+    found, stats = search.sweep(edges, base, queries, entry, K, [4, 16, 32, 64], W=64, skip_same=True)
     report = stored(evaluate.sweep_report(found, stats, exact_knn(base, queries, K, skip_same=True), K), "report")
     return report.crossJoin(evaluate.gate(report, 95.0)).select(  # one row
         F.col("L").cast("long").alias("L"), "n_queries", (F.col("recall") >= 70).alias("recall_reached"), "passed")
@@ -152,6 +152,6 @@ def multi_search(spark, sf):
     for half in (0, 1):
         part = stored(e.where(F.col("label") % 2 == half).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "half")
         indexes.append((graph.build_graph(part, R=24, L=50), part, stored(shards.medoid(part).select("id"), "entry")))
-    found = search.multi_search(indexes, queries, K + 1, 48).where("qid <> id")
+    found = search.multi_search(indexes, queries, K + 1, 48, W=48).where("qid <> id")
     from vecloom.operators.knn import rank_results
     return _recall_row(rank_results(found, K), exact_knn(i.vectors(spark, sf), queries, K, skip_same=True), 95)

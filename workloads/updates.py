@@ -152,7 +152,7 @@ def graph_insert(spark, sf):
     everyone = i.vectors(spark, sf)
     faults = graph.check_graph(everyone, edges, 20)
     queries = i.all_queries(spark, sf)
-    found = graph_search(edges, everyone, queries, entry, 10, 40, W=20).results(10, skip_same=True)
+    found = graph_search(edges, everyone, queries, entry, 10, 40, W=40).results(10, skip_same=True)
     recall = evaluate.recall(found, exact_knn(everyone, queries, 10, skip_same=True), 10)
     return faults.crossJoin(recall).select(
         F.col("n_queries").alias("n"), (F.col("self_loops") + F.col("repeated") + F.col("dangling") + F.col("over_degree")).alias("faults"),
