@@ -36,10 +36,20 @@ def test_built_graph_is_sound_and_searchable(world):
 
 def test_narrow_and_wide_steps_agree_on_distances(world):
     df, edges, entry, queries = world
-    a = {(r.qid, r["rank"]): r.dist for r in search.graph_search(edges, df, queries, entry, 5, 60, W=1).results(5).collect()}
-    b = {(r.qid, r["rank"]): r.dist for r in search.graph_search(edges, df, queries, entry, 5, 60, W=30).results(5).collect()}
+    a = {(r.qid, r["rank"]): r.dist for r in search.graph_search(edges, df, queries, entry, 5, 24, W=4).results(5).collect()}
+    b = {(r.qid, r["rank"]): r.dist for r in search.graph_search(edges, df, queries, entry, 5, 24, W=24).results(5).collect()}
     same = sum(abs(a[k] - b[k]) < 1e-12 for k in a)
-    assert same >= 0.98 * len(a)
+    assert same >= 0.95 * len(a)
+
+
+def test_large_index_and_many_queries_take_the_same_walk(world, monkeypatch):
+    import vecloom.plans.blocks as blocks
+    df, edges, entry, queries = world
+    want = search.graph_search(edges, df, queries, entry, 5, 30, W=10).results(5)
+    monkeypatch.setattr(search, "FIRST_HOP_ROWS", 3)
+    monkeypatch.setattr(blocks, "BROADCAST_ROWS", 3)
+    got = search.graph_search(edges, df, queries, entry, 5, 30, W=10).results(5)
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count() == 1200
 
 
 def test_round_cap_still_answers(world):

@@ -8,10 +8,12 @@ the shared folder after each round, and finished queries leave the loop.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from .. import DEFAULTS
 from ..functions.distances import distance
 from ..functions.validate import list_size
 from ..plans.arrays import longs, matrix, one_array, pair_distance, rank_in_group
+from ..plans.blocks import small_queries
 from ..plans.scratch import compute_partitions, small_or_same, stored
 from .graph import adjacency
 from .knn import merge_topk, rank_results
@@ -83,6 +86,32 @@ def _append(column, at: np.ndarray, values: np.ndarray, value_type: pa.DataType)
     return _lists(both[order], np.r_[old, values][order], len(column), value_type)
 
 
+def _distances(metric: str, book, payload, q: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Distance of each payload row (vector, or codes of ``book``) to its owner's query."""
+    if book is None:
+        x = matrix(payload)
+    else:
+        x, q = book.inflate(matrix(payload, np.int64)), book.prepare(q)
+    return np.concatenate([
+        pair_distance(metric, q[owner[s:s + 65536]], x[s:s + 65536]) for s in range(0, len(x), 65536)])
+
+
+def _score_here(metric: str, book, sent):
+    """Map ``(scored_for, id, payload)`` to distances where the payload is, for a small query set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = sent.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            owner = np.searchsorted(qids, longs(table.column("scored_for")))
+            d = _distances(metric, book, table.column("payload"), q, owner)
+            yield from table.select(["scored_for", "id"]).append_column("dist", pa.array(d)).to_batches()
+
+    return run
+
+
 def _advance(metric: str, W: int, book):
     """Merge scored points into the lists of a few queries and choose what each expands next."""
 
@@ -94,16 +123,12 @@ def _advance(metric: str, W: int, book):
         by_id = np.argsort(qids)
         owner = by_id[np.searchsorted(qids, longs(scored.column("scored_for")), sorter=by_id)] if scored.num_rows else np.empty(0, np.int64)
         ids = longs(scored.column("id"))
-        if scored.num_rows:
-            q = matrix(state.column("qvec"))
-            if book is None:
-                x = matrix(scored.column("payload"))
-            else:
-                x, q = book.inflate(matrix(scored.column("payload"), np.int64)), book.prepare(q)
-            d = np.concatenate([
-                pair_distance(metric, q[owner[s:s + 65536]], x[s:s + 65536]) for s in range(0, len(ids), 65536)])
-        else:
+        if scored.num_rows == 0:
             d = np.empty(0)
+        elif "dist" in scored.column_names:
+            d = one_array(scored.column("dist")).to_numpy(zero_copy_only=False)
+        else:
+            d = _distances(metric, book, scored.column("payload"), matrix(state.column("qvec")), owner)
         old_at, old_ids = _flat(state.column("ids"))
         _, old_d = _flat(state.column("dists"))
         _, old_marks = _flat(state.column("marks"))
@@ -185,6 +210,12 @@ def graph_search(
         F.lit(0).alias("n_rounds"),
     )
     step = _advance(metric, W, book)
+    # Few queries go to where the vectors are, so only distances travel; the vectors of many
+    # queries' neighbours travel to the queries.
+    sent = small_queries(queries)
+    if sent is not None:
+        order = np.argsort(sent[0])
+        sent = queries.sparkSession.sparkContext.broadcast((sent[0][order], sent[1][order]))
 
     def bucket(qid: str):
         return F.pmod(F.xxhash64(qid), F.lit(calls)).cast("int")
@@ -198,6 +229,8 @@ def graph_search(
         if filtered:
             scored = scored.join(labels, "qid").where(labels_match(F.col("labels"), F.array("label"), universal))
         scored = scored.select(F.col("qid").alias("scored_for"), "id", "payload")
+        if sent is not None:
+            scored = scored.mapInArrow(_score_here(metric, book, sent), "scored_for long, id long, dist double")
         seen = Observation()
         moved = (
             state.withColumn("bucket", bucket("qid")).repartition(parts, "bucket").groupBy("bucket")
@@ -207,6 +240,11 @@ def graph_search(
         moved = stored(moved, "walk")
         return moved, seen.get["active"]
 
+    placed = nodes.limit(FIRST_HOP_ROWS + 1).count() > FIRST_HOP_ROWS
+    if placed:
+        # Placed by key once: the rounds then move only their own rows, not these tables.
+        graph = graph.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+        nodes = nodes.repartition(parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
     done: list[DataFrame] = []
     state, n_active = move(state, first, near_nodes)
     rounds = 0
@@ -232,6 +270,9 @@ def graph_search(
                 near_graph.select(F.explode("nbrs").alias("id")).distinct(), "id", "left_semi"), FIRST_HOP_ROWS)
         state, n_active = move(active, fresh, reach)
         rounds += 1
+    if placed:
+        graph.unpersist()
+        nodes.unpersist()
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
