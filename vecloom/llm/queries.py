@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import exact_dedup, mixing, sharding, token_files
+from vecloom.llm import exact_dedup, jaccard, language, mixing, quality, sharding, token_files
 from vecloom.llm.common import table
 
 QUERIES: dict = {}
@@ -31,6 +31,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_of(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
@@ -38,10 +48,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, names, sharding.TABLE_SIZE).select("doc_id", "slot", "shard")
 
 
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 SQL["op4_exact_dedup"] = exact_dedup.SQL
+SQL["op7_jaccard"] = jaccard.SQL
 SQL["op8_sharding"] = sharding.SQL

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,31 +100,50 @@ def open_file(data: bytes) -> tuple[Boundaries, np.ndarray]:
     return Boundaries(docs + 1, low, lows, high, samples), np.frombuffer(data, f"<u{width}", count, at)
 
 
+CUT = "\uffff"  # stands between pieces while a text is split
+#: Marks that may follow a word and then are a run of their own to the tokenizer (no apostrophe).
+MARKS = ".,;:!?*#&$%|()-"
+
+
 def pieces_of(text: str) -> list[str]:
-    """Cut before a space that follows a visible character: the tokenizer's own rule never joins across it."""
-    words = text.split(" ")
-    if len(words) == 1:
-        return words
-    out = [words[0]]
-    joined = not words[0] or words[0][-1].isspace()
-    for w in words[1:]:
-        if joined:
-            out[-1] = out[-1] + " " + w
+    """Cut before each space and line feed. Safe pieces end in a visible character: the tokenizer never joins across such a cut."""
+    return text.replace(" ", CUT + " ").replace("\n", CUT + "\n").split(CUT)
+
+
+def unsafe(piece: str) -> bool:
+    return not piece or piece[-1].isspace()
+
+
+def joined_pieces(text: str) -> list[str]:
+    """The same, with each unsafe piece joined to the next."""
+    out, open_ = [], True
+    for w in re.split(r"(?=[ \n])", text):
+        if open_ and out:
+            out[-1] += w
         else:
-            out.append(" " + w)
-        joined = not w or w[-1].isspace()
+            out.append(w)
+        open_ = unsafe(out[-1])
     return out
 
 
+def byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies use for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return [chr(b) if b in set(shown) else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class Encoder:
-    """Encodes many texts; equal pieces are encoded once and kept, up to ``keep`` of them."""
+    """Encodes many texts with a byte-level BPE; equal pieces are encoded once and kept, up to ``keep`` of them.
 
-    MARK = "<|endoftext|>"
+    A word, perhaps with a space before and marks after it, goes to the tokenizer's model directly; any other piece
+    goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(self.MARK)
+        self.letters = dict(enumerate(byte_letters()))
         self.keep = keep
         self.clear()
 
@@ -132,44 +153,57 @@ class Encoder:
         self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def _run(self, text: str) -> list[int]:
+        """Ids of a text that is one run to the tokenizer."""
+        return [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+
     def _add(self, new: list[str]) -> None:
-        """Encode new pieces in few calls: the tokenizer cuts at its own mark, which stands between them."""
-        for a in range(0, len(new), 20_000):
-            part = new[a:a + 20_000]
-            if self.mark is None or any(self.MARK in p for p in part):
-                lists = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-                ids = np.concatenate(lists)
-                lengths = np.array([len(x) for x in lists], np.int64)
+        lists: list = [None] * len(new)
+        cores: dict[str, list[int]] = {}
+        others = []
+        for n, p in enumerate(new):
+            core = p.rstrip(MARKS)
+            if (core[1:] if core[:1] == " " else core).isalpha():
+                ids = cores.get(core)
+                if ids is None:
+                    ids = cores[core] = self._run(core)
+                if len(core) < len(p):
+                    end = p[len(core):]
+                    if end not in cores:
+                        cores[end] = self._run(end)
+                    ids = ids + cores[end]
+                lists[n] = ids
             else:
-                every = np.array(self.tokenizer.encode(self.MARK.join(part), add_special_tokens=False).ids, np.int32)
-                marks = np.flatnonzero(every == self.mark)
-                lengths = np.diff(np.concatenate([[-1], marks, [len(every)]])) - 1
-                ids = every[every != self.mark]
-            self._keep(part, ids, lengths)
-
-    def _keep(self, part: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+                others.append(n)
+        for n, e in zip(others, self.tokenizer.encode_batch([new[n] for n in others], add_special_tokens=False)):
+            lists[n] = e.ids
+        lengths = np.array([len(x) for x in lists], np.int64)
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum()))
         n = len(self.number)
-        if n + len(part) > len(self.start):
-            grown = 2 * (n + len(part))
+        if n + len(new) > len(self.start):
+            grown = 2 * (n + len(new))
             self.start, self.length = np.resize(self.start, grown), np.resize(self.length, grown)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-        self.start[n:n + len(part)] = self.used + np.cumsum(lengths) - lengths
-        self.length[n:n + len(part)] = lengths
+        self.start[n:n + len(new)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n:n + len(new)] = lengths
         self.flat[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
-        self.number.update(zip(part, range(n, n + len(part))))
+        self.number.update(zip(new, range(n, n + len(new))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
         if len(self.number) > self.keep:
             self.clear()
-        lists = [pieces_of(t) if t else [] for t in texts]
-        known = self.number
-        self._add([p for p in dict.fromkeys(p for x in lists for p in x) if p not in known])
+        lists = [[] if not t else joined_pieces(t) if CUT in t else pieces_of(t) for t in texts]
+        new = set().union(*lists).difference(self.number)
+        bad = {p for p in new if unsafe(p)}
+        if bad:  # never kept, so found again each time
+            lists = [joined_pieces(t) if t and not bad.isdisjoint(x) else x for t, x in zip(texts, lists)]
+            new = set().union(*lists).difference(self.number)
+        self._add(list(new))
         counts = np.array([len(x) for x in lists], np.int64)
-        look = known.__getitem__
-        numbers = np.fromiter((look(p) for x in lists for p in x), np.int64, int(counts.sum()))
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
         lengths = self.length[numbers]
         ids = self.flat[ragged(self.start[numbers], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
