@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecloom.llm.common import remainder, slices, texts_of
 from vecloom.plans.scratch import stored
@@ -237,9 +238,9 @@ def learn(
 
 def identify(
     docs: DataFrame, langs: list[str], prob: np.ndarray, vocabulary: str,
-    id_col: str = "doc_id", text_col: str = "text", longest: int = 8,
+    id_col: str = "doc_id", text_col: str = "text", longest: int = 8, keep: list[str] | None = None,
 ) -> DataFrame:
-    """``(doc_id, lang_pred, score)``, one row per input row, repeated ids included.
+    """``(doc_id, lang_pred, score)``, one row per input row, repeated ids included; with ``keep`` these columns instead of the id.
 
     The score is the probability of the best language among all, each equally likely beforehand; ties go
     to the first by name. ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
@@ -256,7 +257,7 @@ def identify(
         for batch in slices(batches):
             if len(number) > 400_000:
                 number.clear()
-            lists = [raw_words(t) for t in texts_of(batch)]
+            lists = [raw_words(t) for t in texts_of(batch, "_text")]
             new = list(set().union(*lists).difference(number))
             first = len(number)
             if first + len(new) > len(logs):
@@ -285,10 +286,13 @@ def identify(
                 names.append(langs[best])
                 scores.append(float(1.0 / np.exp(ll - ll[best]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id bigint, lang_pred string, score double")
+    shown = [F.col(id_col).cast("long").alias("doc_id")] if keep is None else [F.col(c) for c in keep]
+    rows = docs.select(*shown, F.col(text_col).alias("_text"))
+    schema = T.StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, schema)
 
 
 def language_of(docs: DataFrame, vocabulary: str, folds: int = 5, rounds: int = 2) -> DataFrame:
