@@ -45,20 +45,20 @@ def common_subsequence(item: list[bytes], words: list[bytes]) -> int:
     return matched
 
 
-def tree_sum(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """Sum of the float64 arrays in ``parts(data)``, one row per input task, in two steps of tasks."""
+def tree_sum(parts: DataFrame, shape: tuple[int, ...], kind: type = np.float64) -> np.ndarray:
+    """Sum of the arrays of ``kind`` in ``parts(data)``, one row per input task, in two steps of tasks."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
             for value in batch.column(0):
-                total += np.frombuffer(value.as_buffer(), np.float64).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["data"])
+                total += np.frombuffer(value.as_buffer(), kind).reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], ["data"])
 
     n = max(1, int(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     some = parts.repartition(n).mapInArrow(add, "data binary")
     rows = some.repartition(1).mapInArrow(add, "data binary").collect()
-    return sum((np.frombuffer(r.data, np.float64).reshape(shape) for r in rows), np.zeros(shape))
+    return sum((np.frombuffer(r.data, kind).reshape(shape) for r in rows), np.zeros(shape))
 
 
 def features_of(lists: list[list[bytes]], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,14 +102,14 @@ def weighted(key: np.ndarray, feat: np.ndarray, count: np.ndarray, idf: np.ndarr
     if len(key):
         norm = np.sqrt(np.add.reduceat(value * value, starts))
         value = value / np.repeat(np.maximum(norm, 1e-12), np.diff(np.concatenate([starts, [len(key)]])))
-    return starts, value
+    return starts, value.astype(np.float32)
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", rank: int = 64, size: int = 32, step: int = 16,
-    common: float = 0.01, least: int = 6, cosine: float = 0.4, lcs: float = 0.8, answer: float = 0.6, paraphrase: float = 0.7,
-    block: int = 2000, seed: int = 2,
+    item_col: str = "item_id", item_text_col: str = "text", rank: int = 256, size: int = 32, step: int = 16,
+    common: float = 0.003, least: int = 6, cosine: float = 0.4, lcs: float = 0.8, answer: float = 0.6, paraphrase: float = 0.7,
+    block: int = 256, seed: int = 2,
 ) -> DataFrame:
     """``(doc_id, item_id, cosine, lcs, answer, position)``: each document that holds a benchmark item, and the item.
 
@@ -160,12 +160,12 @@ def contaminated(
         number = {words[f]: n for n, f in enumerate(chosen.tolist())}
         idf = np.log((passages + 1.0) / (df[chosen] + 1.0)) + 1e-3
         v, width = len(chosen), min(len(chosen), rank + 8)
-        random = np.random.default_rng(seed).normal(size=(v, width))
+        random = np.random.default_rng(seed).normal(size=(v, width)).astype(np.float32)
         sent = spark.sparkContext.broadcast((number, idf, random))
 
         def power(batches: Iterator[pa.RecordBatch], sent=sent, v=v, width=width) -> Iterator[pa.RecordBatch]:
             number, idf, random = sent.value
-            z = np.zeros((v, width))
+            z = np.zeros((v, width), np.float32)
             for batch in slices(batches):
                 row, place, feature = features_of([plain_words(t) for t in texts_of(batch)], number)
                 key, feat, n = passages_of(row, place, feature, step, size)
@@ -180,15 +180,15 @@ def contaminated(
                 z[f[heads]] += np.add.reduceat(back[order], heads, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary())], ["data"])
 
-        z = tree_sum(rows.mapInArrow(power, "data binary"), (v, width))
-        # The items are rows of the matrix as well.
+        z = tree_sum(rows.mapInArrow(power, "data binary"), (v, width), np.float32)
+        # The items are rows of the matrix as well, as heavy together as all passages, so that rare ones have their direction too.
         f = [(np.array([number[w] for w in ws if w in number], np.int64)) for _, ws in held]
         key = np.repeat(np.arange(len(f)), [len(x) for x in f])
         ik, iv, ic = passages_of(key, np.zeros(len(key), np.int64), np.concatenate(f), 1, 1)
         starts, value = weighted(ik, iv, ic, idf)
         dense = np.zeros((len(held), v))
         dense[ik >> 32, iv] = value
-        z += dense.T @ (dense @ random)
+        z += max(1.0, passages / len(held)) * (dense.T @ (dense @ random))
         # Eigenvectors of A'A from its action on the random matrix alone (single pass).
         q, _ = np.linalg.qr(z)
         small = np.linalg.lstsq((random.T @ q), z.T @ q, rcond=None)[0]
@@ -196,6 +196,7 @@ def contaminated(
         basis = q @ vectors[:, np.argsort(-values)[:rank]]
         latent = dense @ basis
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        basis, latent = basis.astype(np.float32), latent.astype(np.float32)
         sent = spark.sparkContext.broadcast((number, idf, basis, latent, held))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
