@@ -191,6 +191,15 @@ class Encoder:
         self.used += len(ids)
         self.number.update(zip(new, range(n, n + len(new))))
 
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that are kept as they are."""
+        if len(self.number) > self.keep:
+            self.clear()
+        self._add(list(set(pieces).difference(self.number)))
+        numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        lengths = self.length[numbers]
+        return self.flat[ragged(self.start[numbers], lengths)], lengths
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
         if len(self.number) > self.keep:
