@@ -119,3 +119,17 @@ def test_generated_shapes(spark):
     tenth = zipf.where(F.array_contains("labels", "10")).count()
     assert tenth < first <= 280 and tenth <= 28
     assert zipf.where(F.size("labels") == 0).isEmpty()
+
+
+def test_files_refuse_what_they_cannot_hold(spark, tmp_path):
+    path = str(tmp_path / "big")
+    tags = spark.createDataFrame([(0, 7), (1, (1 << 32) + 5)], "id long, tag long")
+    with pytest.raises(Exception, match="do not fit"):
+        vecfiles.write_tags(tags, path)
+    vecfiles.write_tags(tags, path, "int64")
+    assert {tuple(r) for r in vecfiles.read_tags(spark, path, tags, "int64").collect()} == {(0, 7), (1, (1 << 32) + 5)}
+    truth = spark.createDataFrame([(0, 1, 1 << 32, .1)], "qid long, rank int, id long, dist double")
+    with pytest.raises(Exception, match="do not fit"):
+        truthfiles.write_truth(truth, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="numbers its queries"):
+        truthfiles.write_truth(truth.selectExpr("qid + 4 AS qid", "rank", "1L AS id", "dist"), str(tmp_path / "u"))

@@ -53,9 +53,11 @@ def fast_l2(base: Column | str, query: Column | str, base_sq_norm: Column | str)
 
 
 def distance(metric, a: Column | str, b: Column | str) -> Column:
-    """Distance by metric name; a callable of two columns is used as it is."""
+    """Distance by metric name, ``a`` being the base vector; a callable of two columns is used as it is."""
     if callable(metric):
         return metric(_col(a), _col(b))
+    if metric == "fast_l2":
+        return fast_l2(a, b, squared_norm(a))
     return {"l2": l2sq, "mips": ip_dist, "cosine": cos_dist}[metric](a, b)
 
 

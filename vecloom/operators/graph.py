@@ -189,21 +189,24 @@ def degree_stats(points: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def bfs_distances(edges: DataFrame, entries: DataFrame, max_levels: int = 32) -> DataFrame:
-    """``(id, level)`` of every point reached from the entries in at most ``max_levels`` hops."""
+def bfs_distances(edges: DataFrame, entries: DataFrame, max_levels: int | None = None) -> DataFrame:
+    """``(id, level)`` of every point reached from the entries, or only of those within ``max_levels`` hops."""
     links = edges.select("src", "dst")
     level = stored(entries.select("id").distinct().withColumn("level", F.lit(0)), "bfs")
-    reached = level
-    for n in range(1, max_levels + 1):
+    reached, n = level, 0
+    while max_levels is None or n < max_levels:
+        n += 1
         ahead = level.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         level = stored(ahead.join(reached, "id", "left_anti").withColumn("level", F.lit(n)), "bfs")
         if level.isEmpty():
             break
         reached = reached.unionByName(level)
+        if n % 32 == 0:
+            reached = stored(reached, "bfs-reached")  # a long chain stays a short plan
     return reached
 
 
-def bfs_levels(edges: DataFrame, entries: DataFrame, max_levels: int = 32) -> DataFrame:
+def bfs_levels(edges: DataFrame, entries: DataFrame, max_levels: int | None = None) -> DataFrame:
     """``(level, n)``: points per level."""
     return bfs_distances(edges, entries, max_levels).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 

@@ -136,11 +136,12 @@ def split_by_label(df: DataFrame) -> DataFrame:
     return local.join(df.select("id", "vec"), "id").select("label", "local_id", "id", "vec")
 
 
-def label_entry_points(df: DataFrame, seed: int = 0, rounds: int = 3) -> DataFrame:
+def label_entry_points(df: DataFrame, seed: int = 0) -> DataFrame:
     """``(label, id)``: one start point per label, spread so that few labels share a point.
 
     Each label has up to 25 candidates in seeded order. A label whose pick is also the pick of a
-    smaller label moves to its first candidate that is least used.
+    smaller label moves to its first candidate that is least used, until no round leaves fewer labels
+    sharing a point.
     """
     order = Window.partitionBy("label").orderBy("_h", "id")
     candidates = stored(
@@ -151,7 +152,8 @@ def label_entry_points(df: DataFrame, seed: int = 0, rounds: int = 3) -> DataFra
         "start-candidates",
     )
     picks = candidates.where("n = 1").select("label", "id")
-    for _ in range(rounds):
+    spare = picks.count() - picks.select("id").distinct().count()
+    while spare:
         shared = Window.partitionBy("id").orderBy("label")
         placed = picks.withColumn("_r", F.row_number().over(shared))
         keep = placed.where("_r = 1").select("label", "id")
@@ -162,9 +164,11 @@ def label_entry_points(df: DataFrame, seed: int = 0, rounds: int = 3) -> DataFra
             .groupBy("label").agg(F.min(F.struct(F.coalesce("_used", F.lit(0)).alias("u"), "n", "id")).alias("_best"))
             .select("label", "_best.id")
         )
-        picks = stored(keep.unionByName(again), "starts")
-        if picks.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        moved = stored(keep.unionByName(again), "starts")
+        left = moved.count() - moved.select("id").distinct().count()
+        if left >= spare:
             break
+        picks, spare = moved, left
     return picks
 
 

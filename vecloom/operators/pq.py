@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .. import DEFAULTS
 from ..functions.distances import ip_dist, l2sq
-from ..plans.arrays import Block, add_exact, list_column, matrix
+from ..plans.arrays import Block, add_exact, list_column, matrix, pair_distance
 from ..plans.scratch import stored
 from ..plans.sums import group_sums, vector_means
 from .knn import nearest_pairs, rank_results
@@ -64,10 +64,23 @@ class Codebook:
     mean: np.ndarray
     turn: np.ndarray | None
 
-    def prepare(self, x: np.ndarray) -> np.ndarray:
-        x = x - self.mean
+    def turned(self, x: np.ndarray) -> np.ndarray:
         return x if self.turn is None else x @ self.turn
 
+    def prepare(self, x: np.ndarray) -> np.ndarray:
+        return self.turned(x - self.mean)
+
+    def sides(self, metric: str, q: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and code rows in one space.
+
+        An inner product leaves the mean out, which adds the same to all rows of a query.
+        """
+        if metric == "l2":
+            return self.prepare(q), self.inflate(codes)
+        if metric == "mips":
+            return self.turned(q), self.inflate(codes)
+        return q, self.restore(codes)
+
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Code of the nearest centre per chunk of prepared rows; the smaller code wins a tie."""
         codes = np.empty((len(x), len(self.books)), np.int16)
@@ -85,6 +98,13 @@ class Codebook:
         return (x if self.turn is None else x @ self.turn.T) + self.mean
 
 
+def _send(spark: SparkSession, quantizer: Quantizer):
+    """A function that gives the codebook inside tasks; plain arrays travel, so workers need no package."""
+    book = quantizer.arrays()
+    held = spark.sparkContext.broadcast((book.bounds, book.books, book.mean, book.turn))
+    return lambda: Codebook(*held.value)
+
+
 def pq_chunks(spark: SparkSession, dim: int, n_chunks: int) -> DataFrame:
     """``(chunk, lo, hi)``: contiguous chunks; the first ``dim mod n`` are one dimension wider."""
     if not 1 <= n_chunks <= min(dim, DEFAULTS["pq_max_chunks"]):
@@ -211,11 +231,12 @@ def opq_train(
     turn = np.eye(dim)
     for _ in range(rounds):
         book = stored(_train_chunks(sample, chunks, centers, reps, seed, (mean_row, turn)), "opq-book")
-        held = spark.sparkContext.broadcast(Quantizer(chunks, book, mean).arrays())
+        held = _send(spark, Quantizer(chunks, book, mean))
 
         def partial(table: pa.Table, turn=turn, held=held):
-            x = matrix(table.column("vec")) - held.value.mean
-            quantized = held.value.inflate(held.value.encode(x @ turn))
+            known = held()
+            x = matrix(table.column("vec")) - known.mean
+            quantized = known.inflate(known.encode(x @ turn))
             return pa.array([0], pa.int64()), (x.T @ quantized).reshape(1, -1)
 
         total = group_sums(sample.select("vec"), T.LongType(), "g", partial).first()["sums"]
@@ -242,23 +263,22 @@ def _map_vectors(df: DataFrame, col: str, out: str, out_type: T.DataType, fn, ke
     return df.select(*keep, col).mapInArrow(run, schema)
 
 
-def pq_preprocess(df: DataFrame, quantizer: Quantizer, col: str = "qvec", key: str = "qid") -> DataFrame:
-    """Rows centred and rotated as the codes are."""
-    held = df.sparkSession.sparkContext.broadcast(quantizer.arrays())
-    return _map_vectors(df, col, col, T.DoubleType(), lambda x: held.value.prepare(x), [key])
+def pq_preprocess(df: DataFrame, quantizer: Quantizer, col: str = "qvec", key: str = "qid", center: bool = True) -> DataFrame:
+    """Rows centred and rotated as the codes are; only rotated without ``center``."""
+    held = _send(df.sparkSession, quantizer)
+    return _map_vectors(df, col, col, T.DoubleType(), lambda x: held().prepare(x) if center else held().turned(x), [key])
 
 
 def pq_encode(df: DataFrame, quantizer: Quantizer) -> DataFrame:
     """``(id, codes ARRAY<SMALLINT>)``; a map over the vectors, no shuffle."""
-    held = df.sparkSession.sparkContext.broadcast(quantizer.arrays())
-    return _map_vectors(df, "vec", "codes", T.ShortType(), lambda x: held.value.encode(held.value.prepare(x)), ["id"])
+    held = _send(df.sparkSession, quantizer)
+    return _map_vectors(df, "vec", "codes", T.ShortType(), lambda x: held().encode(held().prepare(x)), ["id"])
 
 
 def pq_decode(codes: DataFrame, quantizer: Quantizer) -> DataFrame:
     """``(id, vec)``: approximate vectors from codes."""
-    held = codes.sparkSession.sparkContext.broadcast(quantizer.arrays())
-    return _map_vectors(
-        codes, "codes", "vec", T.DoubleType(), lambda c: held.value.restore(c.astype(np.int64)), ["id"])
+    held = _send(codes.sparkSession, quantizer)
+    return _map_vectors(codes, "codes", "vec", T.DoubleType(), lambda c: held().restore(c.astype(np.int64)), ["id"])
 
 
 def reconstruction_error(df: DataFrame, codes: DataFrame, quantizer: Quantizer) -> DataFrame:
@@ -271,10 +291,9 @@ def reconstruction_error(df: DataFrame, codes: DataFrame, quantizer: Quantizer)
 def adc_table(queries: DataFrame, quantizer: Quantizer, metric: str = "l2") -> DataFrame:
     """``(qid, chunk, code, value)``: distance of each query chunk to each centre.
 
-    L2 uses centred queries; the inner product (``mips``) the queries as given.
+    L2 uses centred and rotated queries; the inner product (``mips``) only rotates them.
     """
-    if metric == "l2":
-        queries = pq_preprocess(queries, quantizer)
+    queries = pq_preprocess(queries, quantizer, center=metric == "l2")
     parts = queries.select("qid", F.explode(_chunk_structs(quantizer)).alias("c")).select("qid", "c.chunk", "c.part")
     value = l2sq("part", "centroid") if metric == "l2" else ip_dist("part", "centroid")
     book = F.broadcast(quantizer.codebook)  # at most 512 x 256 rows
@@ -289,17 +308,16 @@ def _chunk_structs(quantizer: Quantizer):
 
 def pq_distance(pairs: DataFrame, quantizer: Quantizer, metric: str = "l2") -> DataFrame:
     """``(qid, id, dist)`` of rows ``(qid, qvec, id, codes)``, straight from the codes."""
-    held = pairs.sparkSession.sparkContext.broadcast(quantizer.arrays())
+    held = _send(pairs.sparkSession, quantizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = held.value
+        book = held()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             table = pa.Table.from_batches([batch])
-            q = matrix(table.column("qvec"))
-            x = book.inflate(matrix(table.column("codes"), np.int64))
-            d = ((book.prepare(q) - x) ** 2).sum(1) if metric == "l2" else -(q * x).sum(1)
+            q, x = book.sides(metric, matrix(table.column("qvec")), matrix(table.column("codes"), np.int64))
+            d = pair_distance(metric, q, x)
             yield from table.select(["qid", "id"]).append_column("dist", pa.array(d)).to_batches()
 
     return pairs.select("qid", "qvec", "id", "codes").mapInArrow(run, "qid long, id long, dist double")
@@ -313,11 +331,11 @@ def adc_scan(
     A sum of per-chunk distances is the distance to the inflated codes, so blocks of codes are
     inflated inside the task and scored by one matrix product.
     """
-    held = codes.sparkSession.sparkContext.broadcast(quantizer.arrays())
-    asked = pq_preprocess(queries, quantizer) if metric == "l2" else queries
+    held = _send(codes.sparkSession, quantizer)
+    asked = pq_preprocess(queries, quantizer, center=metric == "l2")
 
     def rows(table: pa.Table) -> np.ndarray:
-        return held.value.inflate(matrix(table.column("codes"), np.int64))
+        return held().inflate(matrix(table.column("codes"), np.int64))
 
     return rank_results(nearest_pairs(codes, asked, k, metric, skip_same, rows=rows, payload="codes"), k)
 

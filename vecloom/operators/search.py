@@ -91,7 +91,7 @@ def _distances(metric: str, book, payload, q: np.ndarray, owner: np.ndarray) ->
     if book is None:
         x = matrix(payload)
     else:
-        x, q = book.inflate(matrix(payload, np.int64)), book.prepare(q)
+        q, x = book.sides(metric, q, matrix(payload, np.int64))
     return np.concatenate([
         pair_distance(metric, q[owner[s:s + 65536]], x[s:s + 65536]) for s in range(0, len(x), 65536)])
 
@@ -290,16 +290,16 @@ def search_live(walk: Walk, live: DataFrame, k: int, skip_same: bool = False) ->
 
 def beam_search(
     edges: DataFrame, codes: DataFrame, base: DataFrame, queries: DataFrame, entries: DataFrame, quantizer, k: int,
-    L: int = DEFAULTS["search_list"], W: int = 4, max_rounds: int | None = None, skip_same: bool = False,
+    L: int = DEFAULTS["search_list"], W: int = 4, max_rounds: int | None = None, skip_same: bool = False, metric: str = "l2",
 ) -> tuple[DataFrame, Walk]:
     """Walk by code distances, then rank the expanded points by their full vectors."""
-    walk = graph_search(edges, codes, queries, entries, k, L, W=W, quantizer=quantizer, max_rounds=max_rounds)
+    walk = graph_search(edges, codes, queries, entries, k, L, W=W, metric=metric, quantizer=quantizer, max_rounds=max_rounds)
     pairs = walk.trace.select("qid", "id").distinct()
     if skip_same:
         pairs = pairs.where("qid <> id")
     scored = (
         pairs.join(base.select("id", "vec"), "id").join(queries.select("qid", "qvec"), "qid")
-        .select("qid", "id", distance("l2", "vec", "qvec").alias("dist"))
+        .select("qid", "id", distance(metric, "vec", "qvec").alias("dist"))
     )
     return rank_results(scored, k), walk
 

@@ -150,9 +150,12 @@ def shard_bytes(rows: int, dim: int, degree: int, width: int = 4) -> float:
 
 def partition_with_budget(
     df: DataFrame, budget_bytes: float, degree: int, k_base: int = DEFAULTS["k_base"], rate: float = 0.1,
-    seed: int = 1, max_parts: int = 4096,
+    seed: int = 1, max_parts: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Centres and shard estimates for the fewest shards (3, 5, 7, ...) whose largest fits the budget."""
+    """Centres and shard estimates for the fewest shards (3, 5, 7, ...) whose largest fits the budget.
+
+    An error if even one shard per sampled row, or ``max_parts`` shards where the caller sets a limit, do not fit.
+    """
     sample = stored(sample_vectors(df, rate, seed), "sample")
     n = sample.count()
     if n == 0:
@@ -163,8 +166,10 @@ def partition_with_budget(
         centers = kmeans(sample, min(parts, n), DEFAULTS["partition_reps"], seed)
         estimate = stored(estimate_shards(sample, centers, k_base, rate), "estimate")
         largest = estimate.agg(F.max("estimate")).first()[0]
-        if shard_bytes(largest, dim, degree) <= budget_bytes or parts >= min(n, max_parts):
+        if shard_bytes(largest, dim, degree) <= budget_bytes:
             return centers, estimate
+        if parts >= (n if max_parts is None else min(n, max_parts)):
+            raise ValueError(f"{min(parts, n)} shards do not fit {budget_bytes} bytes; raise the budget, the rate or max_parts")
         parts += 2
 
 

@@ -38,11 +38,6 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def fetch_bounded(df: DataFrame, max_rows: int):
     """Arrow table of ``df`` if it holds at most ``max_rows`` rows, else None."""
     table = df.limit(max_rows + 1).toArrow()

@@ -87,12 +87,12 @@ class OpLog:
 
 def run_ops(
     stream: DataFrame, path: str, checkpoint: str, *, filtered: bool = False, snapshot_every: int | None = None,
-    watermark: str | None = "1 day",
+    watermark: str | None = None,
 ) -> StreamingQuery:
     """Apply a stream of ``(op_id, ts, seq, op, tag, vec, labels)`` until its input is used up.
 
-    An op delivered twice within the watermark counts once, and ops later than it are dropped;
-    without a watermark every op counts, whenever it comes. Every ``snapshot_every`` batches the
+    Every op counts, whenever it comes. Only a caller that names a ``watermark`` has ops delivered twice
+    within it counted once, and those later than it dropped. Every ``snapshot_every`` batches the
     log is folded into a base.
     """
     spark = stream.sparkSession

@@ -114,8 +114,11 @@ def _dead(spark, sf):
     return i.table(spark, sf, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
 
 
-@query("repair", f"{EDGES}, {DEAD}, k AS (SELECT src, dst FROM e WHERE src NOT IN (FROM d) AND dst NOT IN (FROM d) UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src "
-       "WHERE a.src NOT IN (FROM d) AND a.dst IN (FROM d) AND b.dst NOT IN (FROM d) AND a.src <> b.dst) SELECT src, dst, round(p.dist, 6) AS dist FROM k JOIN p USING (src, dst)")
+@query("repair", f"{EDGES.replace(', e AS (', ', e AS MATERIALIZED (')}, d AS MATERIALIZED (SELECT id FROM v WHERE label = 3), "
+       "x AS MATERIALIZED (SELECT e.*, s.id IS NOT NULL AS from_dead, t.id IS NOT NULL AS to_dead FROM e LEFT JOIN d s ON e.src = s.id LEFT JOIN d t ON e.dst = t.id), "
+       "k AS MATERIALIZED (SELECT src, dst FROM x WHERE NOT from_dead AND NOT to_dead UNION SELECT a.src, b.dst FROM x a JOIN x b ON a.dst = b.src "
+       "WHERE NOT a.from_dead AND a.to_dead AND NOT b.to_dead AND a.src <> b.dst) "
+       "SELECT src, dst, round(list_distance(a.vec, b.vec) ** 2, 6) AS dist FROM k JOIN v a ON a.id = src JOIN v b ON b.id = dst")
 def repair(spark, sf):
     return live.repair(stored(neighbours(spark, sf), "edges"), _dead(spark, sf), i.vectors(spark, sf)).withColumn("dist", i.r6("dist"))
 
