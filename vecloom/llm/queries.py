@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import decontamination, exact_dedup, jaccard, language, licenses, lm, mixing, quality, sharding, substrings, token_files
+from vecloom.llm import decontamination, exact_dedup, jaccard, language, licenses, lm, mixing, prefix_trie, quality, sharding, substrings, token_files, whitening
 from vecloom.llm.common import table
 
 QUERIES: dict = {}
@@ -73,12 +73,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 SQL["op4_exact_dedup"] = exact_dedup.SQL
 SQL["op7_jaccard"] = jaccard.SQL
 SQL["op8_sharding"] = sharding.SQL
 SQL["op12_licenses"] = licenses.SQL
+SQL["op13_prefix_trie"] = prefix_trie.SQL
