@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["expressions", "exact", "evaluation", "labelling", "sharding", "quantizing", "graphs", "searching", "files", "updates"]
+MODULES = ["expressions", "exact", "evaluation", "labelling", "sharding", "quantizing", "graphs", "searching", "files", "updates", "streams"]
 
 
 def query(name: str, sql: str | None = None):
