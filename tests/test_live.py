@@ -97,3 +97,59 @@ def test_bad_vectors_are_refused(spark):
     df = spark.createDataFrame(rows, "id long, vec array<double>")
     with pytest.raises(ValueError, match="repeated"):
         validate.validate_vectors(df, "l2")
+
+
+def op_rows(spark, script):
+    rows = [(n, None, n, op, tag, [float(n)], ["x"]) for n, op, tag in script]
+    return spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
+
+
+def test_batch_reads_its_buckets_only(spark, tmp_path):
+    """The plan of a batch that names one tag opens one bucket; the others keep their files."""
+    log = oplog.OpLog(spark, str(tmp_path / "log"), buckets=8).create()
+    first = op_rows(spark, [(n, "insert", n + 1) for n in range(80)])
+    log.append(0, first.select("tag", "op", "seq", "vec", "labels"))
+    one = op_rows(spark, [(100, "delete", 5)]).select("tag", "op", "seq", "vec", "labels")
+    before = log.version()
+    opened = {f.split("bucket=")[1].split("/")[0] for f in log.tables.matching(before, "live", one).inputFiles()}
+    assert opened == {str(b) for b in log.tables.table("live").touched(one)} and len(opened) == 1
+    log.append(1, one)
+    after = log.version()
+    assert sum(a != b for a, b in zip(before.gens["live"], after.gens["live"])) == 1
+    assert sorted(r.tag for r in log.live().collect()) == [t for t in range(1, 81) if t != 5]
+    assert log.live(1).count() == 80
+    log.compact()
+    assert log.tables.numbers() == [1] and log.live().count() == 79
+
+
+@pytest.mark.parametrize("cuts", [[300], [100, 300], [40, 41, 300]])
+def test_last_writer_state(spark, script, tmp_path, cuts):
+    """Any cut, shuffled inside, and a new start from the checkpoint after every piece."""
+    from vecloom.streaming.last_writer import last_writer_state, read_last_state
+    df, files, out, ck = op_rows(spark, script), str(tmp_path / "ops"), str(tmp_path / "out"), str(tmp_path / "ck")
+    at = 0
+    for cut in cuts:
+        df.where((F.col("seq") >= at) & (F.col("seq") < cut)).orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(df.schema).parquet(files)
+        last_writer_state(stream, out, ck).awaitTermination()
+        at = cut
+    want = {tag: (seq, op) for seq, op, tag in script}
+    assert {r.tag: (r.op_id, r.op) for r in read_last_state(spark, out).collect()} == want
+
+
+def test_last_writer_forgets_deleted(spark, tmp_path):
+    from vecloom.streaming.last_writer import last_writer_state, read_last_state
+    files, out, ck = str(tmp_path / "ops"), str(tmp_path / "out"), str(tmp_path / "ck")
+    pieces = [[(0, "insert", 1), (1, "insert", 2), (2, "delete", 1)], [(5_000, "insert", 3)], [(9_000, "insert", 4)], [(9_500, "insert", 1)]]
+    seen = []
+    for piece in pieces:
+        df = op_rows(spark, piece)
+        df.coalesce(1).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(df.schema).parquet(files)
+        last_writer_state(stream, out, ck, watermark="10 seconds", keep_deleted_ms=60_000).awaitTermination()
+        seen.append({r.tag: r.op for r in read_last_state(spark, out).collect()})
+    assert seen[0] == {1: "delete", 2: "insert"}
+    assert seen[2] == {2: "insert", 3: "insert", 4: "insert"}  # the delete of 1 is out of the state
+    assert seen[3] == {1: "insert", 2: "insert", 3: "insert", 4: "insert"}
+    with pytest.raises(ValueError):
+        last_writer_state(stream, out, ck, keep_deleted_ms=5)

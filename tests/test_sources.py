@@ -133,3 +133,22 @@ def test_files_refuse_what_they_cannot_hold(spark, tmp_path):
         truthfiles.write_truth(truth, str(tmp_path / "t"))
     with pytest.raises(ValueError, match="numbers its queries"):
         truthfiles.write_truth(truth.selectExpr("qid + 4 AS qid", "rank", "1L AS id", "dist"), str(tmp_path / "u"))
+
+
+def test_delta_snapshots(spark, tmp_path):
+    """Unchanged buckets are shared; both versions load; rows may repeat a key; other columns are refused."""
+    from vecloom.sources import snapshot
+    path = str(tmp_path / "snap")
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(200)], "id long, vec array<double>")
+    e = spark.createDataFrame([(i, (i + k) % 200, float(k)) for i in range(200) for k in (1, 2)], "src long, dst long, dist double")
+    both = lambda v, e: {"vectors": ("id", v), "edges": ("src", e)}
+    assert snapshot.save_delta_snapshot(spark, path, 3, both(v, e), buckets=16) == {"vectors": 16, "edges": 16}
+    assert snapshot.save_delta_snapshot(spark, path, 4, both(v.repartition(7), e), buckets=16) == {"vectors": 0, "edges": 0}
+    changed = v.where("id <> 7").unionByName(spark.createDataFrame([(7, [0.5, 0.5])], v.schema))
+    assert snapshot.save_delta_snapshot(spark, path, 5, both(changed, e.limit(0)), buckets=16) == {"vectors": 1, "edges": 0}
+    sums = {n: snapshot.load_delta_snapshot(spark, path, n)["vectors"].agg(F.sum(F.col("vec")[0]), F.count(F.lit(1))).first() for n in (3, 4, 5)}
+    assert tuple(sums[3]) == tuple(sums[4]) == (19900.0, 200) and tuple(sums[5]) == (19893.5, 200)
+    assert snapshot.load_delta_snapshot(spark, path, 3)["edges"].count() == 400
+    assert snapshot.load_delta_snapshot(spark, path)["edges"].count() == 0
+    with pytest.raises(ValueError):
+        snapshot.save_delta_snapshot(spark, path, 6, {"vectors": ("id", v)}, buckets=16)

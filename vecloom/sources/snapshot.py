@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buckets import Version, VersionedTables
+
 
 def save_snapshot(spark: SparkSession, path: str, version: int, tables: dict[str, DataFrame]) -> None:
     """Write each table under its version, then the row counts that make the version complete."""
@@ -34,6 +36,40 @@ def load_snapshot(spark: SparkSession, path: str, version: int | None = None) ->
     return tables
 
 
+def save_delta_snapshot(
+    spark: SparkSession, path: str, version: int, tables: dict[str, tuple[str, DataFrame]], buckets: int = 64,
+) -> dict[str, int]:
+    """Save ``{name: (key, rows)}`` as a version that shares all unchanged buckets with the newest one before.
+
+    Rows are in buckets by the hash of their key, which may repeat. Returns how many buckets of each table were written. A version is
+    there once its last, single file is; saving one again replaces it.
+    """
+    layout = {name: (key, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)) for name, (key, df) in tables.items()}
+    store = VersionedTables(spark, path, layout, buckets)
+    store.create({"layout": layout, "buckets": buckets})
+    before = store.version(max(n for n in store.numbers() if n < version))
+    if before.notes["layout"] != {k: list(v) for k, v in layout.items()} or before.notes["buckets"] != buckets:
+        raise ValueError("the tables, their columns or the number of buckets differ from the snapshots before")
+    now, written = Version(version, before.gens, before.next_gen, before.notes), {}
+    for name, (_, df) in tables.items():
+        gen = now.next_gen
+        now = store.replace(now, name, df)
+        written[name] = sum(g == gen for g in now.gens[name])
+    store.publish(now)
+    return written
+
+
+def load_delta_snapshot(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """Tables of one version (the newest by default)."""
+    bare = VersionedTables(spark, path, {}, 0)
+    found = bare.version(version)
+    layout = {name: tuple(about) for name, about in found.notes["layout"].items()}
+    store = VersionedTables(spark, path, layout, found.notes["buckets"])
+    tables = {name: store.read(found, name) for name in layout}
+    _agree(tables)
+    return tables
+
+
 def _agree(tables: dict[str, DataFrame]) -> None:
     """Tags, labels and vectors must be about the same points, and edges start at them."""
     if "vectors" not in tables:

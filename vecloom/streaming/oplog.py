@@ -1,8 +1,8 @@
-"""Insert / delete streams over a folder of accepted ops.
+"""Insert / delete streams that keep the live points in tag buckets.
 
-Each micro-batch appends only what it accepted, under its own batch number, so a replayed batch
-overwrites itself and the point set is never rewritten per batch. The live set is what the last
-accepted op of each tag says; a compaction folds the log into a base from time to time.
+A micro-batch reads and rewrites the buckets of the tags it names and publishes them as one version under its own
+number, so its cost follows its own size and not the history. A repeated batch finds its version published. A deleted tag
+leaves its bucket; old generations of buckets go with the versions that name them.
 """
 
 from __future__ import annotations
@@ -16,73 +16,69 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.live import resolve_ops
 from ..plans.numbering import number_rows
 from ..plans.scratch import stored
+from ..sources.buckets import Version, VersionedTables, folders
 
-LOG = "tag long, op string, seq long, vec array<float>, labels array<string>"
-STATUS = "tag long, op string, seq long, status string"
+LAYOUT = {"live": ("tag", "tag long, batch_id long, seq long, vec array<float>, labels array<string>")}
+STATUS = "tag long, op string, seq long, status string, batch_id long"
+BUCKETS = 16
 
 
 @dataclass
 class OpLog:
-    """Folder with ``base/upto=N``, ``log/batch_id=N`` and ``status/batch_id=N``."""
+    """Folder with the versions of the live points and ``status/batch_id=N`` of every op.
+
+    ``buckets`` is fixed when the folder is created; choose it so that a bucket is the work of one task.
+    """
 
     spark: SparkSession
     path: str
+    buckets: int = BUCKETS
+
+    @property
+    def tables(self) -> VersionedTables:
+        return VersionedTables(self.spark, f"{self.path}/tables", LAYOUT, self.buckets)
 
     def create(self) -> OpLog:
-        """Lay down the folders (with an empty batch -1), so reading never meets a missing one."""
-        for part, schema, first in (("base", LOG, "upto"), ("log", LOG, "batch_id"), ("status", STATUS, "batch_id")):
-            self.spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{part}/{first}=-1")
+        self.tables.create({"next_seq": 0})
         return self
 
-    def _read(self, part: str, schema: str, key: str) -> DataFrame:
-        return self.spark.read.schema(f"{schema}, {key} long").parquet(f"{self.path}/{part}")
-
-    def base_upto(self, before: int) -> int:
-        """Number of the last batch folded into a base that is older than batch ``before``, or -1."""
-        top = self._read("base", LOG, "upto").where(F.col("upto") < before).agg(F.max("upto")).first()[0]
-        return -1 if top is None else top
-
-    def last_ops(self, before: int) -> DataFrame:
-        """Last accepted op of each tag among batches older than ``before``: (tag, batch_id, seq, op)."""
-        upto = self.base_upto(before)
-        thin = self._read("log", LOG, "batch_id").where((F.col("batch_id") > upto) & (F.col("batch_id") < before))
-        thin = thin.select("tag", "batch_id", "seq", "op")
-        if upto >= 0:
-            base = self._read("base", LOG, "upto").where(F.col("upto") == upto)
-            thin = thin.unionByName(base.select("tag", F.col("upto").alias("batch_id"), "seq", "op"))
-        last = F.max(F.struct("batch_id", "seq", "op")).alias("_last")
-        return thin.groupBy("tag").agg(last).select("tag", "_last.*")
-
-    def live_tags(self, before: int = 1 << 62) -> DataFrame:
-        return self.last_ops(before).where("op = 'insert'").select("tag", "batch_id", "seq")
+    def version(self, before: int = 1 << 62) -> Version:
+        """The newest version older than batch ``before``."""
+        return self.tables.version(max(n for n in self.tables.numbers() if n < before))
 
     def live(self, before: int = 1 << 62) -> DataFrame:
-        """Live points ``(tag, seq, vec, labels)``; payload is fetched for the winning rows only."""
-        upto = self.base_upto(before)
-        rows = self._read("log", LOG, "batch_id").where((F.col("batch_id") > upto) & (F.col("batch_id") < before))
-        if upto >= 0:
-            base = self._read("base", LOG, "upto").where(F.col("upto") == upto)
-            rows = rows.unionByName(base.withColumnRenamed("upto", "batch_id"))
-        wins = self.live_tags(before)
-        return rows.join(wins, ["tag", "batch_id", "seq"]).select("tag", "seq", "vec", "labels")
-
-    def statuses(self) -> DataFrame:
-        return self._read("status", STATUS, "batch_id")
+        """Live points ``(tag, seq, vec, labels)``."""
+        return self.tables.read(self.version(before), "live").select("tag", "seq", "vec", "labels")
 
-    def append(self, batch_id: int, ops: DataFrame, filtered: bool = False) -> None:
-        """Accept the valid ops of one micro-batch; running it again gives the same files."""
-        touched = ops.select("tag").distinct()
-        live = self.live_tags(batch_id).join(touched, "tag", "left_semi")
-        resolved = stored(resolve_ops(live, ops, filtered), "ops")
-        accepted = resolved.where("status = 'ok'").select("tag", "op", "seq", "vec", "labels")
-        accepted.write.mode("overwrite").parquet(f"{self.path}/log/batch_id={batch_id}")
-        resolved.select("tag", "op", "seq", "status").write.mode("overwrite").parquet(
-            f"{self.path}/status/batch_id={batch_id}")
+    def live_tags(self, before: int = 1 << 62) -> DataFrame:
+        return self.tables.read(self.version(before), "live").select("tag", "batch_id", "seq")
 
-    def compact(self, upto: int) -> None:
-        """Fold every batch up to ``upto`` into a base of live rows."""
-        live = self.live(upto + 1).withColumn("op", F.lit("insert"))
-        live.select("tag", "op", "seq", "vec", "labels").write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
+    def statuses(self) -> DataFrame:
+        if not folders(self.spark, f"{self.path}/status", "batch_id"):
+            return self.spark.createDataFrame([], STATUS)
+        return self.spark.read.schema(STATUS).parquet(f"{self.path}/status")
+
+    def append(self, batch_id: int, ops: DataFrame, filtered: bool = False, next_seq: int | None = None) -> None:
+        """Apply the valid ops of one micro-batch; once its version is published, again does nothing."""
+        tables = self.tables
+        if batch_id in tables.numbers():
+            return
+        before = self.version(batch_id)
+        now = Version(batch_id, before.gens, before.next_gen, dict(before.notes))
+        if next_seq is not None:
+            now.notes["next_seq"] = next_seq
+        ops = stored(ops, "ops")
+        live = stored(tables.matching(before, "live", ops).select("tag"), "live")
+        resolved = stored(resolve_ops(live, ops, filtered), "resolved")
+        resolved.select("tag", "op", "seq", "status").write.mode("overwrite").parquet(f"{self.path}/status/batch_id={batch_id}")
+        net = resolved.where("status = 'ok'").groupBy("tag").agg(F.max_by(F.struct("op", "seq", "vec", "labels"), "seq").alias("n"))
+        net = stored(net.select("tag", F.lit(batch_id).cast("long").alias("batch_id"), "n.*"), "net")
+        now = tables.change(now, "live", net.where("op = 'insert'"), net.where("op = 'delete'"))
+        tables.publish(now)
+
+    def compact(self, keep: int = 1) -> None:
+        """Remove all but the newest ``keep`` versions and the bucket files only they name."""
+        self.tables.vacuum(keep)
 
 
 def run_ops(
@@ -92,8 +88,8 @@ def run_ops(
     """Apply a stream of ``(op_id, ts, seq, op, tag, vec, labels)`` until its input is used up.
 
     Every op counts, whenever it comes. Only a caller that names a ``watermark`` has ops delivered twice
-    within it counted once, and those later than it dropped. Every ``snapshot_every`` batches the
-    log is folded into a base.
+    within it counted once, and those later than it dropped. Every ``snapshot_every`` batches the versions before
+    the last one are removed.
     """
     spark = stream.sparkSession
     log = OpLog(spark, path).create()
@@ -104,7 +100,7 @@ def run_ops(
     def apply(batch: DataFrame, batch_id: int) -> None:
         log.append(batch_id, batch.select("tag", "op", "seq", "vec", "labels"), filtered)
         if snapshot_every and (batch_id + 1) % snapshot_every == 0:
-            log.compact(batch_id)
+            log.compact()
 
     return (
         once.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
@@ -124,20 +120,19 @@ def active_window(
     log = OpLog(spark, path).create()
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        top = log.statuses().where((F.col("batch_id") < batch_id) & (F.col("op") == "insert")).agg(F.max("seq")).first()[0]
-        start = 0 if top is None else top + 1
+        if batch_id in log.tables.numbers():
+            return
+        start = log.version(batch_id).notes["next_seq"]
         rows = stored(number_rows(batch.select("ts", "tag", "vec", "labels"), ["ts", "tag"], "seq", start=start), "block")
         n = rows.count()
-        if n == 0:
-            return
         inserts = rows.select("tag", F.lit("insert").alias("op"), "seq", "vec", "labels")
         old = log.live_tags(batch_id).select("tag", "seq").unionByName(rows.select("tag", "seq"))
         none = [F.lit(None).cast("array<float>").alias("vec"), F.lit(None).cast("array<string>").alias("labels")]
         leave = old.where(F.col("seq") < start + n - window).select(
             "tag", F.lit("delete").alias("op"), (F.lit(start + n) + F.col("seq")).alias("seq"), *none)
-        log.append(batch_id, inserts.unionByName(leave))
+        log.append(batch_id, inserts.unionByName(leave), next_seq=start + n)
         if consolidate_every and (start + n) // consolidate_every > start // consolidate_every:
-            log.compact(batch_id)
+            log.compact()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()

@@ -163,3 +163,18 @@ def gen_labels(spark, sf):
         ).withColumn("dist", F.lit(dist))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("snapshot_delta", f"WITH {i.SQL_VECTORS}, t(version) AS (VALUES (0), (1)) SELECT version::BIGINT AS version, id, round(list_sum(vec) * CASE WHEN version = 1 AND id % 100 = 0 THEN 2 ELSE 1 END, 6) AS vec_sum, true AS few_written FROM v, t")
+def snapshot_delta(spark, sf):
+    """Every hundredth vector is doubled before the second snapshot, which writes no bucket without one of these."""
+    path, base = new_path(spark, "delta-snapshot"), i.vectors(spark, sf)
+    n = base.count()
+    first = snapshot.save_delta_snapshot(spark, path, 0, {"vectors": ("id", base)}, buckets=n)
+    changed = base.withColumn("vec", F.when(F.col("id") % 100 == 0, F.transform("vec", lambda x: (x * 2).cast("float"))).otherwise(F.col("vec")))
+    second = snapshot.save_delta_snapshot(spark, path, 1, {"vectors": ("id", changed)}, buckets=n)
+    few = second["vectors"] <= -(-n // 100) < first["vectors"]
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    out = [snapshot.load_delta_snapshot(spark, path, v)["vectors"].select(
+        F.lit(v).cast("long").alias("version"), "id", i.r6(total).alias("vec_sum"), F.lit(few).alias("few_written")) for v in (0, 1)]
+    return out[0].unionByName(out[1])

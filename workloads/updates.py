@@ -10,6 +10,7 @@ from vecloom.operators.search import graph_search
 from vecloom.plans.numbering import number_rows
 from vecloom.plans.scratch import new_path, stored
 from vecloom.streaming import oplog
+from vecloom.streaming.last_writer import last_writer_state, read_last_state
 
 from . import inputs as i
 from .graphs import EDGES, neighbours
@@ -198,7 +199,7 @@ FINAL = f"WITH {CHAIN}, fin AS (SELECT tag, arg_max(op, seq) AS op FROM ch GROUP
 
 @query("stream_live_set", f"{FINAL} SELECT tag, round(list_sum(embedding::DOUBLE[]), 6) AS vec_sum FROM fin JOIN embeddings ON vec_id = tag WHERE op = 'insert'")
 def stream_live_set(spark, sf):
-    """Four micro-batches, the log folded into a base after every second."""
+    """Four micro-batches; versions before the last one are removed after every second."""
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return _replayed(spark, sf, 4, snapshot_every=2).live().select("tag", i.r6(total).alias("vec_sum"))
 
@@ -235,3 +236,17 @@ def last_writer(spark, sf):
     where = new_path(spark, "last-writer")
     oplog.last_writer(stream, where, new_path(spark, "stream")).awaitTermination()
     return oplog.read_last_writer(spark, where).select("tag", "op_id", "op")
+
+
+@query("last_writer_state", f"WITH {OPS} SELECT parts::BIGINT AS parts, tag, arg_max(op_id, seq) AS op_id, arg_max(op, seq) AS op FROM o, (SELECT unnest([1, 2, 3]) AS parts) GROUP BY parts, tag")
+def last_writer_states(spark, sf):
+    """The last op of each tag as keyed state, for three cuts of the stream."""
+    out = None
+    for parts in (1, 2, 3):
+        schema, files = _op_files(spark, sf, parts)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(files)
+        where = new_path(spark, "last-state")
+        last_writer_state(stream, where, new_path(spark, "stream")).awaitTermination()
+        mine = read_last_state(spark, where).select(F.lit(parts).cast("long").alias("parts"), "tag", "op_id", "op")
+        out = mine if out is None else out.unionByName(mine)
+    return out
