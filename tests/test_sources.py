@@ -152,3 +152,44 @@ def test_delta_snapshots(spark, tmp_path):
     assert snapshot.load_delta_snapshot(spark, path)["edges"].count() == 0
     with pytest.raises(ValueError):
         snapshot.save_delta_snapshot(spark, path, 6, {"vectors": ("id", v)}, buckets=16)
+
+
+def test_id_range_opens_its_bytes(spark, tmp_path):
+    path = str(tmp_path / "v")
+    df = spark.createDataFrame([(n, [float(n), 0.5]) for n in range(100)], "id long, vec array<float>")
+    vecfiles.write_vectors(df, path, "bin", rows_per_file=20)
+    assert sorted(r.id for r in vecfiles.read_vector_range(spark, path, 37, 63).where("id <> 40").collect()) == [n for n in range(37, 63) if n != 40]
+    assert vecfiles.read_vector_range(spark, path, 90, 10).count() == 0
+    reader = vecfiles._FilteringReader(path, vecfiles.Layout("bin", "float"), 0, None)
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+    left = list(reader.pushFilters([GreaterThanOrEqual(("id",), 37), LessThan(("id",), 63), EqualTo(("vec",), 1)]))
+    assert left == [EqualTo(("vec",), 1)]
+    assert sum(p.value[3] - p.value[2] for p in reader.partitions()) == 26
+
+
+def test_stream_of_files(spark, tmp_path):
+    """Whole files once each, ids going on; a file with an earlier name is refused."""
+    path, seen = str(tmp_path / "in"), {}
+
+    def run():
+        def save(batch, batch_id):
+            seen.update({r.id: (r.vec[0], batch_id) for r in batch.collect()})
+
+        vecfiles.stream_vectors(spark, path, "fvecs").writeStream.foreachBatch(save).option(
+            "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+
+    def put(name, low, high):
+        df = spark.createDataFrame([(n, [float(n)]) for n in range(low, high)], "id long, vec array<float>")
+        vecfiles.write_vectors(df, str(tmp_path / name), "fvecs", rows_per_file=7)
+        vecfiles.arrive(str(tmp_path / name), path, name)
+
+    put("b", 0, 20)
+    run()
+    put("c", 20, 30)
+    run()
+    run()
+    assert seen == {n: (float(n), 0 if n < 20 else 1) for n in range(30)}
+    put("a", 30, 31)
+    put("d", 31, 32)
+    with pytest.raises(Exception, match="names before"):
+        run()

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import DEFAULTS
+from ..functions.distances import l2sq
 from ..functions.hashing import seeded_order
-from ..plans.blocks import cell_pairs, nearest_of_small
+from ..plans.blocks import cell_pairs
 from ..plans.scratch import stored
+from ..plans.sums import vector_means
 from .labels import expand_universal, point_labels
 from .prune import robust_prune
-from .shards import medoid, small_centers
+from .shards import assign_centers, medoid, shard_bytes, shard_points, split_to_budget
 
-SHARD_ROWS = 200_000  # rows of one shard when the caller gives no sharding
+SHARD_ROWS = 200_000  # rows that a shard of a sharded build may hold when the caller gives no sharding
 
 
 def group_candidates(members: DataFrame, L: int, metric: str = "l2", group: str = "shard") -> DataFrame:
@@ -60,66 +62,54 @@ def link(candidates: DataFrame, vectors: DataFrame, R: int, group: str | None =
     return cap_degree(add_reverse(forward, group), vectors, R, 1.0, group, **prune)
 
 
-def _members(points: DataFrame, shard_map: DataFrame | None) -> tuple[DataFrame, bool]:
-    """``(shard, id, vec)``, and whether there is more than one shard."""
-    if shard_map is None:
-        n = points.count()
-        if n <= SHARD_ROWS:
-            return points.select(F.lit(0).cast("long").alias("shard"), "id", "vec"), False
-        from .shards import partition_with_budget, shard_bytes, shard_points
-        dim = len(points.select("vec").first()[0])
-        centers, _ = partition_with_budget(
-            points, shard_bytes(SHARD_ROWS, dim, DEFAULTS["degree"]), DEFAULTS["degree"],
-            rate=min(1.0, DEFAULTS["pq_train_rows"] / n))
-        shard_map = shard_points(points, centers)
-    return stored(shard_map.select("shard", "id").join(points.select("id", "vec"), "id"), "members"), True
+def _members(points: DataFrame, shard_map: DataFrame) -> DataFrame:
+    return stored(shard_map.select("shard", "id").join(points.select("id", "vec"), "id"), "members")
 
 
-def _bridges(members: DataFrame, metric: str, near: int = 16) -> DataFrame | None:
-    """Candidates between the middle points of nearby shards, so no shard is an island."""
-    from ..plans.sums import vector_means
+def _bridges(members: DataFrame, metric: str, near: int = 16) -> DataFrame:
+    """Candidates between the middle points of nearby shards, so no shard is an island.
+
+    Very many middles are joined in cells, so they get their bridges like few.
+    """
     means = vector_means(members, "shard").select("shard", F.col("vec").alias("_mean"))
-    from ..functions.distances import l2sq
     middles = (
         members.join(means, "shard").groupBy("shard")
         .agg(F.min(F.struct(l2sq("vec", "_mean").alias("d"), "id", "vec")).alias("m"))
         .select(F.col("m.id").alias("cid"), F.col("m.vec").alias("vec")).dropDuplicates(["cid"])
     )
     middles = stored(middles, "middles")
-    sent = small_centers(middles)
-    if sent is None or len(sent[0]) < 2:
-        return None
-    return (
-        nearest_of_small(middles.withColumnRenamed("cid", "src"), sent, metric, near + 1, "src", "vec", ["src"], "dst")
-        .where("src <> dst").select("src", "dst", "dist")
-    )
+    found = assign_centers(middles.withColumnRenamed("cid", "src"), middles, near + 1, metric, "src")
+    return found.select("src", F.col("cid").alias("dst"), "dist").where("src <> dst")
 
 
 def build_graph(
     points: DataFrame, R: int = DEFAULTS["degree"], L: int = DEFAULTS["build_list"], alpha: float = DEFAULTS["alpha"],
     metric: str = "l2", *, shard_map: DataFrame | None = None, labels: bool = False, universal: str | None = None,
     saturate: bool = False,
-    maxc: int = DEFAULTS["max_candidates"], refine: int = 0,
+    maxc: int = DEFAULTS["max_candidates"], refine: int = 0, seed_rows: int | None = None,
 ) -> DataFrame:
     """Edges of a graph over ``points(id, vec[, labels])`` with at most R edges per point.
 
-    Candidates are the L nearest rows in each overlapping shard; with ``labels`` also the L nearest
-    under each label, and pruning keeps label paths; points with the ``universal`` label count as
-    carrying every label. ``refine`` rounds search the graph for every
-    point and prune again over what the search met.
+    Without a ``shard_map`` the graph grows by doubling: the first ``seed_rows`` points are compared pair by pair, the
+    others placed by walks. With one, candidates are the L nearest rows in each overlapping shard, and the middle
+    points of neighbouring shards. With ``labels`` candidates under each label join them, and pruning keeps
+    label paths; points with the ``universal`` label count as carrying every label. ``refine`` rounds search the
+    graph for every point and prune again over what the search met.
     """
+    from .incremental import SEED_ROWS, grow_graph
     if labels and universal is not None:
         points = stored(expand_universal(points, universal), "points")
-    members, several = _members(points, shard_map)
-    candidates = group_candidates(members, L, metric).select("src", "dst", "dist")
-    bridges = _bridges(members, metric) if several else None
-    if bridges is not None:
-        candidates = candidates.unionByName(bridges)
-    if labels:
-        tagged = point_labels(points).select("id", F.col("label")).distinct().join(points.select("id", "vec"), "id")
-        candidates = candidates.unionByName(group_candidates(tagged, L, metric, "label").select("src", "dst", "dist"))
     prune = {"alpha": alpha, "maxc": maxc, "metric": metric, "saturate": saturate, "guard": labels}
-    edges = stored(link(candidates, points, R, **prune), "graph")
+    if shard_map is None:
+        grown, _ = grow_graph(points, R, L, alpha, metric, labels=labels, seed_rows=seed_rows or SEED_ROWS, maxc=maxc, saturate=saturate)
+        edges = stored(grown, "graph")
+    else:
+        members = _members(points, shard_map)
+        candidates = group_candidates(members, L, metric).select("src", "dst", "dist").unionByName(_bridges(members, metric))
+        if labels:
+            tagged = point_labels(points).select("id", F.col("label")).distinct().join(points.select("id", "vec"), "id")
+            candidates = candidates.unionByName(group_candidates(tagged, L, metric, "label").select("src", "dst", "dist"))
+        edges = stored(link(candidates, points, R, **prune), "graph")
     for _ in range(refine):
         met = graph_candidates(points, edges, medoid(points).select("id"), L, metric)
         pool = met.unionByName(edges.select("src", "dst", "dist"))
@@ -139,9 +129,17 @@ def build_sharded(
     points: DataFrame, R: int, L: int = DEFAULTS["build_list"], alpha: float = DEFAULTS["alpha"], metric: str = "l2",
     *, shard_map: DataFrame | None = None, seed: int = 0,
 ) -> DataFrame:
-    """One graph per overlapping shard with degree 2R/3, merged to at most R edges per point."""
-    members, _ = _members(points, shard_map)
-    candidates = group_candidates(members, L, metric)
+    """One graph per overlapping shard with degree 2R/3, merged to at most R edges per point.
+
+    Without a ``shard_map`` there are as many shards as it takes for none to hold more than about SHARD_ROWS points.
+    """
+    if shard_map is None:
+        dim = len(points.select("vec").first()[0])
+        centers, _, _ = split_to_budget(
+            points, shard_bytes(SHARD_ROWS, dim, DEFAULTS["degree"]), DEFAULTS["degree"],
+            rate=min(1.0, DEFAULTS["pq_train_rows"] / max(1, points.count())))
+        shard_map = shard_points(points, centers)
+    candidates = group_candidates(_members(points, shard_map), L, metric)
     edges = link(candidates, points, max(1, 2 * R // 3), "shard", alpha=alpha, metric=metric)
     return merge_graphs(edges, R, seed)
 

@@ -18,7 +18,7 @@ from .prune import robust_prune
 from .search import graph_search
 from .shards import medoid
 
-SEED_ROWS = 1_000  # rows that begin a graph by meeting each other; a graph grows by at most its own size at a time
+SEED_ROWS = 16_384  # rows that begin a graph by meeting each other; after that it grows by at most its own size at a time
 
 GIVEN = 4          # times that places are given to points which no list takes by itself
 
@@ -80,7 +80,7 @@ def walked_candidates(
 def insert_delta(
     lists: DataFrame, points: DataFrame, batch: DataFrame, entry: DataFrame | None, R: int, L: int = DEFAULTS["build_list"],
     alpha: float = DEFAULTS["alpha"], metric: str = "l2", *, starts: DataFrame | None = None, universal: str | None = None,
-    seeds: DataFrame | None = None, again: bool = True,
+    seeds: DataFrame | None = None, again: bool = True, everywhere: bool = False, **prune,
 ) -> DataFrame:
     """Delta ``(src, nbrs)`` for new points ``batch(id, vec[, labels])`` of a graph ``lists(src, nbrs)`` over ``points``.
 
@@ -88,10 +88,10 @@ def insert_delta(
     their reverse, and lists beyond R are pruned. ``again`` walks once more over the graph so far, so that the new points
     meet each other without being compared pair by pair. With ``starts(label, id)`` a point is walked for under
     each of its labels, entering points with that label only, and pruning keeps label paths. ``seeds(src, dst, dist)``
-    are more candidates; an empty graph, without an ``entry``, begins from them alone.
+    are more candidates; an empty graph, without an ``entry``, begins from them alone. ``everywhere`` also walks without
+    labels. Further options go to the pruning.
     """
-    guard = starts is not None
-    prune = {"alpha": alpha, "metric": metric, "guard": guard}
+    prune = {"alpha": alpha, "metric": metric, "guard": starts is not None, **prune}
     everyone = points.unionByName(batch.select(*points.columns))
     new = batch.select(F.col("id").alias("src"))
 
@@ -103,14 +103,20 @@ def insert_delta(
         edges = before.unionByName(out).unionByName(back).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
         return stored(as_lists(cap_degree(edges, everyone, R, **prune)), "delta")
 
-    found = None if entry is None else walked_candidates(lists, points, batch, entry, L, metric, starts, universal)
+    def walked(lists: DataFrame, points: DataFrame) -> DataFrame:
+        met = walked_candidates(lists, points, batch, entry, L, metric, starts, universal)
+        if starts is None or not everywhere:
+            return met
+        return met.unionByName(walked_candidates(lists, points, batch, entry, L, metric))
+
+    found = None if entry is None else walked(lists, points)
     if seeds is not None:
         found = seeds if found is None else found.unionByName(seeds)
     delta = joined(lists, found)
     if not again or entry is None:
         return delta
     so_far = replaced(lists, delta)
-    met = walked_candidates(so_far, everyone, batch, entry, L, metric, starts, universal)
+    met = walked(so_far, everyone)
     mine = as_edges(delta.join(new, "src", "left_semi"))
     return stored(replaced(delta, joined(so_far, met.unionByName(mine))), "delta")
 
@@ -157,24 +163,35 @@ def rounds_of(points: DataFrame, held: int, first: DataFrame | None = None, seed
 
 def grow_graph(
     points: DataFrame, R: int = DEFAULTS["degree"], L: int = DEFAULTS["build_list"], alpha: float = DEFAULTS["alpha"],
-    metric: str = "l2", *, seed_rows: int = SEED_ROWS, again: bool = True,
+    metric: str = "l2", *, labels: bool = False, seed_rows: int = SEED_ROWS, again: bool = True, **prune,
 ) -> tuple[DataFrame, DataFrame]:
-    """Edges over ``points(id, vec)`` built by doubling, and the entry ``(id)`` the walks began from.
+    """Edges over ``points(id, vec[, labels])`` built by doubling, and the entry ``(id)`` the walks began from.
 
-    The first ``seed_rows`` points are compared pair by pair; after that the graph over n points is walked to place the
-    next n. No point is compared with a shard, so the pairs scored per point grow with the length of its walks only, and
-    one rule holds at every size.
+    The first ``seed_rows`` points are compared pair by pair, with ``labels`` also the first ``seed_rows`` under each
+    label; after that the graph over n points is walked to place the next n. So the pairs scored per point are those
+    of its walks, however many points there are in all or under one label, and one rule holds at every size.
     """
-    rounds = rounds_of(points.select("id", "vec"), 0, seed_rows=seed_rows)
+    points = points.select("id", "vec", *(["labels"] if labels else []))
+    first = starts = pairs = None
+    if labels:
+        starts = stored(point_labels(points).groupBy("label").agg(F.min("id").alias("id")), "starts")
+        first, pairs = label_seeds(points, starts, L, metric, seed_rows)
+        first, pairs = stored(first, "first"), stored(pairs, "pairs")
+    rounds = rounds_of(points, 0, first, seed_rows)
     if not rounds:
         return as_edges(empty_lists(points)), points.select("id").limit(0)
-    held = rounds[0]
-    entry = stored(medoid(held).select("id"), "entry")
-    lists = insert_delta(empty_lists(points), held.limit(0), held, None, R, L, alpha, metric, seeds=seed_pairs(held, L, metric))
-    for batch in rounds[1:]:
-        delta = insert_delta(lists, held, batch, entry, R, L, alpha, metric, again=again)
-        lists = stored(replaced(lists, delta), "lists")
-        held = stored(held.unionByName(batch), "held")
+    held, lists, entry = points.limit(0), empty_lists(points), None
+    for batch in rounds:
+        seeds = None if entry is not None else seed_pairs(batch, L, metric)
+        if labels:
+            mine = pairs.join(batch.select(F.col("id").alias("src")), "src", "left_semi")
+            seeds = mine if seeds is None else seeds.unionByName(mine)
+        delta = insert_delta(
+            lists, held, batch, entry, R, L, alpha, metric, starts=starts, seeds=seeds, again=again, everywhere=True, **prune)
+        if entry is None:
+            held, lists, entry = batch, delta, stored(medoid(batch).select("id"), "entry")
+        else:
+            held, lists = stored(held.unionByName(batch), "held"), stored(replaced(lists, delta), "lists")
     return as_edges(lists), entry
 
 

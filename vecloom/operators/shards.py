@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import DEFAULTS
-from ..functions.distances import vec_norm
+from ..functions.distances import l2sq, vec_norm
 from ..functions.hashing import seeded_order
 from ..functions.transforms import normalized
 from ..plans.arrays import Block, longs, matrix
 from ..plans.blocks import BROADCAST_BYTES, cell_pairs, nearest_of_small
 from ..plans.numbering import number_rows
-from ..plans.scratch import fetch_bounded, small_or_same, stored
+from ..plans.scratch import compute_partitions, fetch_bounded, small_or_same, stored
 from ..plans.sums import add_rows, group_sums, vector_means
 from .knn import exact_knn, rank_results
 
 MAX_SMALL_CENTERS = 65_536
+IVF_SALTS = 8  # tasks that may share the rows of one shard while it is written
 
 
 def sample_vectors(df: DataFrame, rate: float, seed: int = 0, id_col: str = "id") -> DataFrame:
@@ -173,6 +174,47 @@ def partition_with_budget(
         parts += 2
 
 
+def split_to_budget(
+    df: DataFrame, budget_bytes: float, degree: int, k_base: int = DEFAULTS["k_base"], rate: float = 0.1, seed: int = 1,
+    reps: int = 4,
+) -> tuple[DataFrame, DataFrame, int]:
+    """Centres, shard estimates, and the number of fits, for shards that all fit the budget.
+
+    Starts from few centres; in each round every shard that is too large gives its centre up for two of its rows far
+    apart, and a few Lloyd steps over the sample settle all centres at once. So the fits grow with the logarithm of the
+    number of shards. An error if a shard of equal rows does not fit.
+    """
+    sample = stored(sample_vectors(df, rate, seed).select("id", F.col("vec").cast("array<double>").alias("vec")), "sample")
+    n = sample.count()
+    if n == 0:
+        raise ValueError("the sample is empty; raise the rate")
+    dim = len(sample.select("vec").first()[0])
+    centers, fits = stored(kmeans(sample, min(DEFAULTS["partition_start"], n), reps, seed), "centers"), 1
+    while True:
+        estimate = stored(estimate_shards(sample, centers, k_base, rate), "estimate")
+        over = estimate.where(F.col("estimate") > _rows_within(budget_bytes, dim, degree)).select(F.col("shard").alias("cid"))
+        over = stored(over, "over")
+        if over.isEmpty():
+            return centers, estimate, fits
+        near = assign_centers(sample, centers, 1).select("id", "cid", "dist").join(over, "cid", "left_semi")
+        rows = stored(near.join(sample, "id"), "rows")
+        far = rows.groupBy("cid").agg(F.max_by("vec", F.struct("dist", "id")).alias("_a"))
+        pairs = rows.join(far, "cid").groupBy("cid", "_a").agg(
+            F.max(F.struct(l2sq("vec", "_a").alias("d"), "id", "vec")).alias("b"))
+        two = stored(pairs.where("b.d > 0").select("cid", F.explode(F.array("_a", "b.vec")).alias("vec")), "two")
+        if two.isEmpty():
+            raise ValueError(f"shards of equal rows do not fit {budget_bytes} bytes; raise the budget")
+        kept = centers.join(two.select("cid").distinct(), "cid", "left_anti").select("vec").unionByName(two.select("vec"))
+        renumbered = number_rows(kept, ["vec"], "cid").select(F.col("cid").cast("long").alias("cid"), "vec")
+        centers, _ = lloyd(sample, stored(renumbered, "centers"), reps)
+        fits += 1
+
+
+def _rows_within(budget_bytes: float, dim: int, degree: int) -> int:
+    """The most rows whose shard fits the budget."""
+    return int(budget_bytes / shard_bytes(1, dim, degree))
+
+
 def cluster_order(df: DataFrame, centers: DataFrame) -> DataFrame:
     """``(pos, cid, id)``: rows laid out cluster by cluster."""
     near = assign_centers(df, centers, 1).select("cid", "id")
@@ -210,6 +252,44 @@ def route_queries(queries: DataFrame, centers: DataFrame, nprobe: int, metric: s
     return found.withColumnRenamed("cid", "shard")
 
 
+def write_ivf(df: DataFrame, centers: DataFrame, path: str, k_base: int = 1) -> None:
+    """Rows ``(id, vec)`` in a folder per shard, each row in those of its ``k_base`` nearest centres.
+
+    A small centre set goes to the rows, which are assigned where they are read and shuffled once, with their vectors.
+    A shard with very many rows is written by several tasks.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    sent = small_centers(centers)
+    if sent is not None:
+        placed = nearest_of_small(rows, sent, "l2", k_base, "id", "vec", ["id", "vec"], out_id="shard")
+    else:
+        placed = assign_centers(rows, centers, k_base).select("id", F.col("cid").alias("shard")).join(rows, "id")
+    salted = placed.select("shard", "id", "vec").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(IVF_SALTS)))
+    salted.repartition(compute_partitions(spark) * 4, "shard", "_salt").drop("_salt").write.mode("overwrite").partitionBy(
+        "shard").parquet(path)
+
+
+def read_ivf(spark, path: str, routed: DataFrame | None = None) -> DataFrame:
+    """``(shard, id, vec)`` of the layout, or only of the shards in ``routed(shard)``: other shards' files are not opened.
+
+    There are at most as many shards as centres, so the wanted ones are a list in the scan's partition filter.
+    """
+    rows = spark.read.schema("id long, vec array<double>, shard long").parquet(path)
+    if routed is None:
+        return rows
+    return rows.where(F.col("shard").isin([r.shard for r in routed.select("shard").distinct().collect()]))
+
+
+def ivf_search_pruned(
+    path: str, centers: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: str = "l2", skip_same: bool = False,
+) -> DataFrame:
+    """As :func:`ivf_search` over a layout of :func:`write_ivf`; reads the shards that some query visits."""
+    routed = stored(route_queries(queries, centers, nprobe, metric).select("qid", "shard"), "routed")
+    held = read_ivf(queries.sparkSession, path, routed)
+    return _search_routed(held, routed, queries, k, metric, skip_same)
+
+
 def ivf_search(
     shards: DataFrame, centers: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: str = "l2",
     skip_same: bool = False,
@@ -218,9 +298,11 @@ def ivf_search(
 
     Exact inside the visited shards. A row held by several visited shards counts once.
     """
-    routed = route_queries(queries, centers, nprobe, metric).select("qid", "shard").join(queries, "qid")
-    pairs = cell_pairs(
-        shards.select("shard", "id", "vec"), routed.select("shard", "qid", "qvec"), metric, k=k, by="shard",
-        skip_same=skip_same,
-    )
+    return _search_routed(
+        shards, route_queries(queries, centers, nprobe, metric).select("qid", "shard"), queries, k, metric, skip_same)
+
+
+def _search_routed(shards: DataFrame, routed: DataFrame, queries: DataFrame, k: int, metric: str, skip_same: bool) -> DataFrame:
+    asked = routed.join(queries, "qid").select("shard", "qid", "qvec")
+    pairs = cell_pairs(shards.select("shard", "id", "vec"), asked, metric, k=k, by="shard", skip_same=skip_same)
     return rank_results(pairs.groupBy("qid", "id").agg(F.min("dist").alias("dist")), k)

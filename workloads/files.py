@@ -178,3 +178,29 @@ def snapshot_delta(spark, sf):
     out = [snapshot.load_delta_snapshot(spark, path, v)["vectors"].select(
         F.lit(v).cast("long").alias("version"), "id", i.r6(total).alias("vec_sum"), F.lit(few).alias("few_written")) for v in (0, 1)]
     return out[0].unionByName(out[1])
+
+
+@query("vecfile_stream", f"WITH {i.SQL_VECTORS} SELECT id, round(list_sum(vec), 6) AS vec_sum, least(id // 170, 2) AS batch FROM v")
+def vecfile_stream(spark, sf):
+    """Files that arrive one after the other, a micro-batch after each; ids go on over all of them."""
+    path, out, ck = (new_path(spark, name) for name in ("arriving", "taken", "stream"))
+    base = i.vectors(spark, sf)
+    for part in range(3):
+        mine = base.where(F.least(F.floor(F.col("id") / 170), F.lit(2)) == part)
+        vecfiles.write_vectors(mine, f"{path}-{part}", "fvecs")
+        vecfiles.arrive(f"{path}-{part}", path, f"day-{part}")
+
+        def save(batch, batch_id):
+            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+        vecfiles.stream_vectors(spark, path, "fvecs").writeStream.foreachBatch(save).option(
+            "checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return spark.read.parquet(out).select("id", i.r6(total).alias("vec_sum"), F.col("batch").cast("long").alias("batch"))
+
+
+@query("vecfile_id_range", CELLS + " WHERE id >= 120 AND id < 320")
+def vecfile_id_range(spark, sf):
+    path = new_path(spark, "bin")
+    vecfiles.write_vectors(i.vectors(spark, sf), path, "bin", rows_per_file=150)
+    return _cells(vecfiles.read_vector_range(spark, path, 120, 320))

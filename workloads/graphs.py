@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecloom.operators import graph
+from vecloom.operators import evaluate, graph, incremental
 from vecloom.operators.knn import exact_knn
 from vecloom.operators.prune import robust_prune
+from vecloom.operators.search import graph_search
 from vecloom.operators.shards import medoid, shard_points, shard_vectors
 from vecloom.plans.scratch import stored
 
@@ -130,6 +131,24 @@ def build_graph(spark, sf):
     return _sound(spark, sf, graph.build_graph(i.vectors(spark, sf), R=24, L=60), 24)
 
 
+GROWN = "SELECT count(*) AS n, 0::BIGINT AS faults, true AS within_degree, true AS connected, true AS few_pairs, true AS recall_reached FROM embeddings"
+
+
+@query("build_graph_doubling", GROWN)
+def build_graph_doubling(spark, sf):
+    """Pairs of an eighth of the points, then three doublings by walks; every vector asks the graph for its neighbours."""
+    base, asked = i.vectors(spark, sf), i.all_queries(spark, sf)
+    n = base.count()
+    edges, entry = incremental.grow_graph(base, R=16, L=24, seed_rows=n // 8)
+    edges = stored(edges, "grown")
+    walk = graph_search(edges, base, asked, entry, 10, 48, W=48)
+    recall = evaluate.recall(walk.results(10, skip_same=True), exact_knn(base, asked, 10, skip_same=True), 10)
+    placing = graph_search(edges, base, asked, entry, 1, 24, W=8)
+    mean = placing.stats.agg(F.avg("n_cmps").alias("n_cmps"))  # what placing one more point costs
+    return _sound(spark, sf, edges, 16).crossJoin(recall).crossJoin(mean).select(  # one row each
+        "n", "faults", "within_degree", "connected", (F.col("n_cmps") <= 0.6 * n).alias("few_pairs"), (F.col("recall") >= 90).alias("recall_reached"))
+
+
 @query("build_graph_over_shards", SOUND)
 def build_graph_over_shards(spark, sf):
     base = i.vectors(spark, sf)

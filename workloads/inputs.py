@@ -65,17 +65,6 @@ def shown(results: DataFrame) -> DataFrame:
     return results.withColumn("rank", F.col("rank").cast("long")).withColumn("dist", r6("dist"))
 
 
-_BUILT: dict = {}
-
-
-def once(spark: SparkSession, sf_dir: str, name: str, make):
-    """Tables that several queries of one session share, such as a built graph, are made once."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _BUILT:
-        _BUILT[key] = make()
-    return _BUILT[key]
-
-
 # The same inputs in SQL, as common table expressions.
 SQL_VECTORS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings)"
 SQL_SCALED = "s AS (SELECT id, list_transform(vec, lambda x: x * (1 + id % 7)) AS vec FROM v)"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from vecloom.operators import evaluate, shards
 from vecloom.operators.knn import exact_knn
+from vecloom.plans.scratch import new_path, stored
 
 from . import inputs as i
 from .registry import query
@@ -137,3 +140,26 @@ def ivf_all_probes_recall(spark, sf):
     found = shards.ivf_search(held, centers, queries, 10, nprobe=10, skip_same=True)
     truth = exact_knn(base, queries, 10, skip_same=True)
     return evaluate.recall(found, truth, 10).select(i.r6("recall").alias("recall"), "n_queries")
+
+
+@query("ivf_pruned_top10", f"{BASE}, {NEAR}, p AS (SELECT DISTINCT q.id AS qid, b.id FROM a q JOIN a b ON q.cid = b.cid WHERE q.r <= 4 AND b.r <= 2 AND q.id <> b.id), "
+       "s AS (SELECT qid, p.id, list_distance(q.vec, b.vec) ** 2 AS dist FROM p JOIN v q ON q.id = qid JOIN v b ON b.id = p.id) " + i.topk_sql("SELECT * FROM s", 10))
+def ivf_pruned_top10(spark, sf):
+    """The rows of ``ivf_top10`` from a layout on disk."""
+    base, centers, path = i.vectors(spark, sf), i.class_centers(spark, sf), new_path(spark, "ivf")
+    shards.write_ivf(base, centers, path, 2)
+    return i.shown(shards.ivf_search_pruned(path, centers, i.all_queries(spark, sf), 10, nprobe=4, skip_same=True))
+
+
+@query("split_to_budget", "SELECT true AS fits, true AS few_fits, true AS covers_overlap, count(*) AS n FROM embeddings")
+def split_to_budget(spark, sf):
+    """Shards of at most an eighth of the rows, each row in two of them."""
+    base = stored(i.vectors(spark, sf), "base")
+    n = base.count()
+    budget = shards.shard_bytes(n // 8, 64, 32)
+    centers, estimate, fits = shards.split_to_budget(base, budget, 32, k_base=2, rate=0.5)
+    sizes = shards.shard_points(base, centers, 2).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    few = fits <= 3 + math.ceil(math.log2(centers.count()))
+    held = estimate.agg(F.max("estimate").alias("largest")).crossJoin(sizes.agg(F.sum("n").alias("total")))  # one row each
+    return held.select((F.col("largest") <= n // 8).alias("fits"), F.lit(few).alias("few_fits"),
+                       (F.col("total") == 2 * n).alias("covers_overlap"), F.lit(n).cast("long").alias("n"))
