@@ -115,3 +115,35 @@ def test_range_search_is_a_subset(world):
     exact = range_join(df, queries, 6.0)
     assert found.select("qid", "id").exceptAll(exact.select("qid", "id")).isEmpty()
     assert found.count() >= 0.9 * exact.count()
+
+
+@pytest.mark.parametrize("options", [{}, {"metric": "cosine"}, {"labels": True}, {"max_rounds": 2}, {"codes": True}])
+def test_joined_walk_is_the_walk_in_tasks(spark, points, options):
+    """The same lists, traces and counts, whether the index is sent to the queries or joined round by round."""
+    from vecloom.operators.pq import pq_encode, pq_train
+    from vecloom.operators.search import graph_search
+    df, _, _ = points
+    options = dict(options)
+    edges = graph.build_graph(df, R=10, L=20, labels=options.pop("labels", False))
+    asked = df.where("id % 7 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    nodes, more = df, {}
+    if options.pop("codes", False):
+        book = pq_train(df.select("id", "vec"), 4, seed=1)
+        nodes, more = pq_encode(df.select("id", "vec"), book), {"quantizer": book}
+    entry = df.where("id = 150").select("id")
+    runs = [graph_search(edges, nodes, asked, entry, 5, 15, W=4, held_rows=n, **options, **more) for n in (0, 65_536)]
+    for part in ("lists", "trace", "stats"):
+        a, b = (sorted(tuple(r) for r in getattr(w, part).collect()) for w in runs)
+        assert a == b and a
+
+
+def test_joined_filtered_walk(spark, points):
+    from vecloom.operators.labels import label_entry_points, query_label_starts
+    from vecloom.operators.search import graph_search
+    df, _, labels = points
+    edges = graph.build_graph(df, R=10, L=20, labels=True)
+    asked = spark.createDataFrame([(n, [float(n % 3)] * 12, ["hot", "l1", "l2"][n % 3]) for n in range(30)], "qid long, qvec array<double>, label string")
+    starts = query_label_starts(label_entry_points(df))
+    runs = [graph_search(edges, df, asked, df.where("id = 1").select("id"), 5, 15, starts=starts, universal="all", held_rows=n) for n in (0, 65_536)]
+    a, b = (sorted(tuple(r) for r in w.results(5).collect()) for w in runs)
+    assert a == b and a

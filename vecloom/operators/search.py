@@ -1,6 +1,7 @@
 """Batched best-first search over an edge table.
 
-All queries walk together. One round joins the points each query expands with their neighbours,
+An index that is small by rows and bytes, both checked, goes to the queries: each task walks its own ones to the end,
+and nothing is shuffled. Otherwise all queries walk together. One round joins the points each query expands with their neighbours,
 drops what the query has seen, joins the rest with their vectors (or codes), and merges distances
 into the query's list. A query is one row; its list has at most L entries. The state is written to
 the shared folder after each round, and finished queries leave the loop.
@@ -22,7 +23,7 @@ from ..functions.distances import distance
 from ..functions.validate import list_size
 from ..plans.arrays import longs, matrix, one_array, pair_distance, rank_in_group
 from ..plans.blocks import small_queries
-from ..plans.scratch import compute_partitions, small_or_same, stored
+from ..plans.scratch import compute_partitions, fetch_bounded, small_or_same, stored
 from .graph import adjacency
 from .knn import merge_topk, rank_results
 from .labels import labels_match
@@ -30,6 +31,7 @@ from .labels import labels_match
 QUERIES_PER_CALL = 64
 MAX_ENTRIES = 1_000
 FIRST_HOP_ROWS = 10_000  # start points and their neighbours are sent to every task up to this many
+HELD_ROWS, HELD_BYTES = 65_536, 32 << 20  # an index up to this size is sent to the queries
 FRESH, EXPANDED, CHOSEN = 0, 1, 2
 
 STATE = (
@@ -161,17 +163,110 @@ def _advance(metric: str, W: int, book):
     return step
 
 
+@dataclass
+class _Index:
+    """A whole index as arrays, points in id order."""
+
+    ids: np.ndarray
+    payload: pa.Array
+    offsets: np.ndarray
+    nbrs: np.ndarray
+    labels: list | None
+
+    def at(self, ids: np.ndarray) -> np.ndarray:
+        """Positions of the ids that the index holds."""
+        where = np.minimum(np.searchsorted(self.ids, ids), max(0, len(self.ids) - 1))
+        return where[self.ids[where] == ids] if len(self.ids) else np.empty(0, np.int64)
+
+    def around(self, ids: np.ndarray) -> np.ndarray:
+        parts = [self.nbrs[self.offsets[i]:self.offsets[i + 1]] for i in self.at(ids)]
+        return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+
+
+def _held_index(graph: DataFrame, nodes: DataFrame, filtered: bool, held_rows: int) -> _Index | None:
+    """The index as arrays if its size allows, else None; a large one is given up after a bounded look."""
+    head = nodes.select(F.size("payload").alias("dim")).first()
+    if head is None or not held_rows:
+        return None
+    most = min(held_rows, HELD_BYTES // (8 * max(1, head.dim)))
+    table = fetch_bounded(nodes, most)
+    if table is None or table.nbytes > HELD_BYTES:
+        return None
+    size = graph.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("nbrs")).alias("edges")).first()
+    if size.n > held_rows or 8 * (size.edges or 0) > HELD_BYTES:
+        return None
+    lists = graph.select(F.col("src").cast("long").alias("src"), F.col("nbrs").cast("array<long>").alias("nbrs")).toArrow()
+    order = np.argsort(longs(table.column("id")), kind="stable")
+    table = table.take(pa.array(order))
+    ids = longs(table.column("id"))
+    src, flat_at, flat = longs(lists.column("src")), *_flat(lists.column("nbrs"))
+    known = np.isin(src, ids)
+    where = np.searchsorted(ids, src)[flat_at][known[flat_at]]
+    flat = flat[known[flat_at]].astype(np.int64)
+    by_point = np.argsort(where, kind="stable")
+    offsets = np.r_[0, np.cumsum(np.bincount(where, minlength=len(ids)))].astype(np.int64)
+    labels = [frozenset(v or ()) for v in table.column("labels").to_pylist()] if filtered else None
+    return _Index(ids, one_array(table.column("payload")), offsets, flat[by_point], labels)
+
+
+def _walk_here(step, sent, metric: str, book, universal, max_rounds):
+    """Whole walks of a few queries at a time, over an index held as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, QUERIES_PER_CALL):
+                part = pa.Table.from_batches([batch.slice(a, QUERIES_PER_CALL)])
+                yield from walk(index, part).select([f.split()[0] for f in STATE.split(", ")]).combine_chunks().to_batches()
+
+    def walk(index: _Index, part: pa.Table) -> pa.Table:
+        qids, q = longs(part.column("qid")), matrix(part.column("qvec"))
+        wanted = part.column("label").to_pylist() if index.labels is not None else None
+        fresh = [np.unique(np.asarray(f, np.int64)) for f in part.column("fresh").to_pylist()]
+        state, done, rounds = part.drop_columns(["fresh", *(["label"] if wanted is not None else [])]), [], 0
+        while True:
+            owner, at = [], []
+            for n, ids in enumerate(fresh):
+                found = index.at(ids)
+                if wanted is not None:
+                    found = np.array([i for i in found if wanted[n] in index.labels[i] or (
+                        universal is not None and universal in index.labels[i])], np.int64)
+                owner.append(np.full(len(found), n))
+                at.append(found)
+            owner, at = np.concatenate(owner).astype(np.int64), np.concatenate(at).astype(np.int64)
+            d = _distances(metric, book, index.payload.take(pa.array(at)), q, owner) if len(at) else np.empty(0)
+            scored = pa.table({"scored_for": pa.array(qids[owner]), "id": pa.array(index.ids[at]), "dist": pa.array(d)})
+            state = step(None, state, scored)
+            going = np.diff(one_array(state.column("chosen")).offsets.to_numpy()) > 0
+            if max_rounds is not None and rounds >= max_rounds:
+                going[:] = False
+            done.append(state.filter(pa.array(~going)))
+            if not going.any():
+                return pa.concat_tables(done)
+            state = state.filter(pa.array(going))
+            qids, q = qids[going], q[going]
+            if wanted is not None:
+                wanted = [w for w, g in zip(wanted, going) if g]
+            fresh = [
+                np.setdiff1d(index.around(np.asarray(chosen, np.int64)), np.asarray(seen, np.int64))
+                for chosen, seen in zip(state.column("chosen").to_pylist(), state.column("seen").to_pylist())]
+            rounds += 1
+
+    return run
+
+
 def graph_search(
     edges: DataFrame, nodes: DataFrame, queries: DataFrame, entries: DataFrame, k: int,
     L: int | None = DEFAULTS["search_list"], *, W: int = 32, metric: str = "l2", starts: DataFrame | None = None,
-    universal: str | None = None, quantizer=None, max_rounds: int | None = None,
+    universal: str | None = None, quantizer=None, max_rounds: int | None = None, held_rows: int = HELD_ROWS,
 ) -> Walk:
     """Walk ``edges(src, dst)`` (or ``(src, nbrs)``) from ``entries(id)`` for ``queries(qid, qvec)``.
 
     ``nodes(id, vec[, labels])``, or ``nodes(id, codes)`` with a ``quantizer``. Queries with a
     ``label`` enter only points that match it, also from ``starts(label, starts)``; a label without
     a start is an error unless there is a ``universal`` label. ``L=None`` reads a column ``L`` of
-    the queries. ``W`` points per query are expanded in a round.
+    the queries. ``W`` points per query are expanded in a round. An index of at most ``held_rows`` points and HELD_BYTES
+    is walked inside the tasks; the answers and counts are those of the joined walk.
     """
     if L is not None:
         queries = queries.withColumn("L", F.lit(list_size(k, L)))
@@ -197,11 +292,6 @@ def graph_search(
             "qid", F.array_union(F.array(*[F.lit(i).cast("long") for i in general]),
                                  F.coalesce("starts", F.array().cast("array<long>"))).alias("fresh"))
     first = stored(first, "first")
-    start_ids = first.select(F.explode("fresh").alias("id")).distinct()
-    near_nodes = small_or_same(nodes.join(start_ids, "id", "left_semi"), FIRST_HOP_ROWS)
-    near_graph = small_or_same(graph.join(start_ids, graph.src == start_ids.id, "left_semi"), FIRST_HOP_ROWS)
-    labels = small_or_same(queries.select("qid", "label")) if filtered else None
-
     empty_long, empty_double = F.array().cast("array<long>"), F.array().cast("array<double>")
     state = queries.select(
         "qid", "qvec", F.col("L").cast("int").alias("L"), empty_long.alias("ids"), empty_double.alias("dists"),
@@ -210,6 +300,20 @@ def graph_search(
         F.lit(0).alias("n_rounds"),
     )
     step = _advance(metric, W, book)
+    parts = compute_partitions(queries.sparkSession)
+    held = _held_index(graph, nodes, filtered, held_rows)
+    if held is not None:
+        sent_index = queries.sparkSession.sparkContext.broadcast(held)
+        asked = state.join(first, "qid")
+        if filtered:
+            asked = asked.join(queries.select("qid", "label"), "qid")
+        run = _walk_here(step, sent_index, metric, book, universal, max_rounds)
+        return Walk(stored(asked.repartition(parts, "qid").mapInArrow(run, STATE), "walk"))
+    start_ids = first.select(F.explode("fresh").alias("id")).distinct()
+    near_nodes = small_or_same(nodes.join(start_ids, "id", "left_semi"), FIRST_HOP_ROWS)
+    near_graph = small_or_same(graph.join(start_ids, graph.src == start_ids.id, "left_semi"), FIRST_HOP_ROWS)
+    labels = small_or_same(queries.select("qid", "label")) if filtered else None
+
     # Few queries go to where the vectors are, so only distances travel; the vectors of many
     # queries' neighbours travel to the queries.
     sent = small_queries(queries)
@@ -220,8 +324,6 @@ def graph_search(
     def bucket(qid: str):
         return F.pmod(F.xxhash64(qid), F.lit(calls)).cast("int")
 
-    parts = compute_partitions(queries.sparkSession)
-
     def move(state: DataFrame, fresh: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
         """The next state, and how many queries still have points to expand."""
         pairs = fresh.select("qid", F.explode("fresh").alias("id"))

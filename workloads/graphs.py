@@ -146,7 +146,7 @@ def build_graph_doubling(spark, sf):
     placing = graph_search(edges, base, asked, entry, 1, 24, W=8)
     mean = placing.stats.agg(F.avg("n_cmps").alias("n_cmps"))  # what placing one more point costs
     return _sound(spark, sf, edges, 16).crossJoin(recall).crossJoin(mean).select(  # one row each
-        "n", "faults", "within_degree", "connected", (F.col("n_cmps") <= 0.6 * n).alias("few_pairs"), (F.col("recall") >= 90).alias("recall_reached"))
+        "n", "faults", "within_degree", "connected", (F.col("n_cmps") <= 0.75 * n).alias("few_pairs"), (F.col("recall") >= 90).alias("recall_reached"))
 
 
 @query("build_graph_over_shards", SOUND)
