@@ -124,3 +124,59 @@ def test_base_is_not_shuffled_for_few_queries(points):
     df, _, _ = points
     plan = knn.nearest_pairs(df, asked(df), 5, "l2")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("InMemoryTableScan")[0]
+
+
+@pytest.mark.parametrize("k", [1, 7, 400])
+def test_pruned_knn(spark, points, k):
+    """The same rows as without pruning, copies and ties included, and fewer pairs where rows are far apart."""
+    from vecloom.operators.pruned import pruned_knn
+    df, x, _ = points
+    wide = df.select("id", F.transform("vec", lambda v: v + (F.col("id") % 5) * 40).alias("vec"))
+    asked = wide.where("id % 3 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    for skip in (False, True):
+        found, work = pruned_knn(wide, asked, k, skip_same=skip)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, knn.exact_knn(wide, asked, k, skip_same=skip).collect()))
+        row = work.first()
+        assert row.all_pairs == 300 * 100 and (k > 50 or row.scored < 0.5 * row.all_pairs)
+    found, work = pruned_knn(wide.limit(0), asked, k) if k == 1 else (asked.limit(0), None)
+    assert found.count() == 0
+
+
+def test_ivf_layout(spark, points, tmp_path):
+    """The rows of a search over shards in memory; the fewer shards are visited, the fewer files are opened."""
+    from vecloom.operators.shards import ivf_search_pruned, read_ivf, route_queries, write_ivf
+    df, x, _ = points
+    centers = df.where("id IN (0, 110, 130, 150, 170, 190, 210, 230)").select(F.col("id").alias("cid"), "vec")
+    path = str(tmp_path / "ivf")
+    write_ivf(df, centers, path, 2)
+    held = shard_vectors(df.select("id", "vec"), shard_points(df, centers, 2))
+    asked = df.where("id IN (5, 120, 222)").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    opened = []
+    for nprobe in (1, 3, 8):
+        found = ivf_search_pruned(path, centers, asked, 6, nprobe)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, ivf_search(held, centers, asked, 6, nprobe).collect()))
+        routed = route_queries(asked, centers, nprobe)
+        opened.append(read_ivf(spark, path, routed).select(F.input_file_name()).distinct().count())
+    assert opened[0] < opened[1] < opened[2] == read_ivf(spark, path).select(F.input_file_name()).distinct().count()
+
+
+def test_split_to_budget(spark, points):
+    """Every shard fits, with one hot place of copies; equal rows that do not fit are an error."""
+    from vecloom.operators.shards import shard_bytes, split_to_budget
+    df, _, _ = points
+    rows = df.where("id >= 100 OR id < 20")
+    centers, estimate, fits = split_to_budget(rows, shard_bytes(60, 12, 8), 8, k_base=1, rate=1.0)
+    assert estimate.agg(F.max("estimate")).first()[0] <= 60 and centers.count() >= 4 and fits <= 8
+    with pytest.raises(ValueError, match="equal rows"):
+        split_to_budget(df.where("id < 100"), shard_bytes(60, 12, 8), 8, k_base=1, rate=1.0)
+
+
+def test_shards_get_bridges(spark, points, monkeypatch):
+    """Also where the middles of the shards are too many to be sent to the tasks."""
+    from vecloom.operators import graph, shards
+    df, _, _ = points
+    shard_map = df.select("id", (F.col("id") % 6).alias("shard"))
+    few = graph._bridges(graph._members(df, shard_map), "l2", near=2)
+    monkeypatch.setattr(shards, "MAX_SMALL_CENTERS", 3)
+    many = graph._bridges(graph._members(df, shard_map), "l2", near=2)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() >= 6

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_order
 from ..plans.numbering import number_rows
-from ..plans.scratch import small_or_same, stored
+from ..plans.scratch import fetch_bounded, small_or_same, stored
 
+LABEL_SET = 10_000  # labels that one point may be given at once
 START_CANDIDATES = 25  # fixed value: random candidates per label start
 
 
@@ -63,11 +64,15 @@ def label_counts(df: DataFrame) -> DataFrame:
 
 
 def expand_universal(df: DataFrame, universal: str) -> DataFrame:
-    """Points with the universal label get every other label of the set instead."""
-    every = (
-        point_labels(df).where(F.col("label") != universal)
-        .agg(F.array_sort(F.collect_set("label")).alias("_every"))  # one row: the label set
-    )
+    """Points with the universal label get every other label of the set instead.
+
+    The label set becomes one row, and part of each such point; a set of over LABEL_SET labels is an error.
+    """
+    others = point_labels(df).where(F.col("label") != universal).select("label").distinct()
+    names = fetch_bounded(others, LABEL_SET)
+    if names is None:
+        raise ValueError(f"over {LABEL_SET} labels: search with the universal label instead of expanding it")
+    every = df.sparkSession.createDataFrame([(sorted(names.column("label").to_pylist()),)], "_every array<string>")
     return (
         df.crossJoin(F.broadcast(every))
         .withColumn("labels", F.when(F.array_contains("labels", universal), F.col("_every")).otherwise(F.col("labels")))

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import DEFAULTS
 from ..functions.distances import distance
-from ..plans.blocks import cell_pairs
+from ..plans.lookup import hot_lookup
 from ..plans.numbering import number_rows
 from ..plans.scratch import stored
-from .graph import add_reverse, cap_degree
-from .knn import rank_results
+from .graph import cap_degree
+from .incremental import as_edges, as_lists, insert_delta, replaced, rounds_of
 from .labels import point_labels
-from .prune import robust_prune
-from .search import graph_search
 from .shards import cluster_order
 
 RESERVED_TAG = 0
@@ -116,7 +114,11 @@ def repair(edges: DataFrame, deleted: DataFrame, vectors: DataFrame, metric: str
     into = alive_from.join(dead, alive_from.dst == dead.id, "left_semi").select("src", F.col("dst").alias("via"))
     out_of = links.join(dead, links.src == dead.id, "left_semi").select(F.col("src").alias("via"), "dst")
     out_of = out_of.join(dead, out_of.dst == dead.id, "left_anti")
-    bridged = into.join(out_of, "via").where("src <> dst").select("src", "dst").distinct()
+    into = stored(into, "into")
+    uses = into.groupBy("via").agg(F.count(F.lit(1)).alias("_uses"))
+    around = out_of.groupBy("via").agg(F.collect_list("dst").alias("_next")).join(uses, "via")  # at most R neighbours each
+    bridged = hot_lookup(into, stored(around, "around"), "via", "_uses").select("src", F.explode("_next").alias("dst"))
+    bridged = bridged.where("src <> dst").distinct()
     fresh = bridged.join(kept.select("src", "dst"), ["src", "dst"], "left_anti")
     a = vectors.select(F.col("id").alias("src"), F.col("vec").alias("_a"))
     b = vectors.select(F.col("id").alias("dst"), F.col("vec").alias("_b"))
@@ -160,23 +162,21 @@ def compact(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
 
 def graph_insert(
     edges: DataFrame, vectors: DataFrame, batch: DataFrame, entries: DataFrame, R: int, L: int = DEFAULTS["build_list"],
-    alpha: float = DEFAULTS["alpha"], metric: str = "l2",
+    alpha: float = DEFAULTS["alpha"], metric: str = "l2", *, starts: DataFrame | None = None, universal: str | None = None,
 ) -> DataFrame:
-    """Edges after the points ``batch(id, vec)`` join a graph over ``vectors(id, vec)``.
+    """Edges after the points ``batch(id, vec[, labels])`` join a graph over ``vectors``; no two of them are compared as such.
 
-    Candidates are what a search for each new point expands and its nearest new points; the new
-    points' edges get their reverse, and points over R are pruned.
+    They come in rounds no larger than the graph, each walked for twice. With ``starts(label, id)`` a point is walked for
+    under its labels; a new label needs a start among the points, see :func:`new_label_starts`.
     """
-    asked = batch.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    walk = graph_search(edges, vectors, asked, entries, 1, L, metric=metric)
-    met = walk.trace.select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
-    among = rank_results(cell_pairs(batch.select("id", "vec"), asked, metric, k=L, skip_same=True), L)
-    among = among.select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
-    everyone = vectors.select("id", "vec").unionByName(batch.select("id", "vec"))
-    out = stored(robust_prune(met.unionByName(among), everyone, R, alpha, metric=metric), "out-edges")
-    joined = edges.select("src", "dst", "dist").unionByName(add_reverse(out)).groupBy("src", "dst").agg(
-        F.min("dist").alias("dist"))
-    return stored(cap_degree(joined, everyone, R, alpha=alpha, metric=metric), "graph")
+    lists = stored(as_lists(edges.select("src", "dst", "dist")), "lists")
+    columns = ["id", "vec", *(["labels"] if starts is not None else [])]
+    held = vectors.select(*columns)
+    for rows in rounds_of(batch.select(*columns), held.count()):
+        delta = insert_delta(lists, held, rows, entries, R, L, alpha, metric, starts=starts, universal=universal)
+        lists = stored(replaced(lists, delta), "lists")
+        held = stored(held.unionByName(rows), "held")
+    return as_edges(lists)
 
 
 def new_label_starts(starts: DataFrame, batch: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecloom.operators import knn, lookups
+from vecloom.operators import knn, lookups, pruned
 from vecloom.operators.ranges import range_join
 
 from . import inputs as i
@@ -132,3 +132,21 @@ def get_by_tag(spark, sf):
     asked = i.table(spark, sf, "events").select(F.col("event_id").alias("tag"))
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return lookups.get_by_tag(points, asked).select("tag", i.r6(total).alias("vec_sum"), "status")
+
+
+@query("l2_top10_pruned", f"WITH {i.SQL_VECTORS}, {i.SQL_SCALED}, r AS ({i.topk_sql(PAIR.format(d=L2, q='s', b='s'), 10)}) SELECT *, true AS fewer_pairs FROM r")
+def l2_top10_pruned(spark, sf):
+    """Vectors of norms 1 to 7 among themselves; cells beyond a query's tenth neighbour are not met."""
+    base = i.scaled(spark, sf)
+    found, work = pruned.pruned_knn(base, base.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), 10, skip_same=True)
+    fewer = work.select((F.col("scored") < 0.9 * F.col("all_pairs")).alias("fewer_pairs"))
+    return i.shown(found).crossJoin(fewer)  # one row
+
+
+@query("range_l2_rings", f"WITH {i.SQL_VECTORS}, {i.SQL_SCALED} SELECT q.id AS qid, b.id, round(list_distance(q.vec, b.vec) ** 2, 6) AS dist FROM s q JOIN s b ON q.id <> b.id WHERE list_distance(q.vec, b.vec) ** 2 <= 3.0000001")
+def range_l2_rings(spark, sf):
+    """A range join over rings of distances around the class means."""
+    base = i.scaled(spark, sf)
+    asked = base.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    found = range_join(base, asked, 3.0000001, centers=i.class_centers(spark, sf), skip_same=True)
+    return found.select("qid", "id", i.r6("dist").alias("dist"))
