@@ -47,3 +47,30 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_training_on_all_rows(spark, points):
+    """A step equals plain numpy, errors fall, copies make fewer centres, runs repeat, and cuts of the table do not matter."""
+    from vecloom.operators import pq_all
+    df, x, _ = points
+    rows = df.select("id", "vec")
+    book, errors = pq_all.pq_train_all(rows, 3, centers=8, reps=3)
+    assert all(b <= a for a, b in zip(errors, errors[1:]))
+    again, _ = pq_all.pq_train_all(rows.repartition(9), 3, centers=8, reps=3)
+    for a, b in zip(book.arrays().books, again.arrays().books):
+        assert a.shape == b.shape and np.allclose(a, b, atol=1e-9)
+    known = book.arrays()
+    sums = {(r.chunk, r.code): (r.n, np.array(r.sums)) for r in pq_all.chunk_sums(rows, book).collect()}
+    moved = x - x.mean(axis=0)
+    for c, ((lo, hi), centers) in enumerate(zip(known.bounds, known.books)):
+        near = ((moved[:, None, lo:hi] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for code in range(len(centers)):
+            n = int((near == code).sum())
+            if n:
+                assert sums[(c, code)][0] == n and np.allclose(sums[(c, code)][1], moved[near == code, lo:hi].sum(axis=0), atol=1e-9)
+            else:
+                assert (c, code) not in sums
+    one, _ = pq_all.pq_train_all(rows.where("id < 100"), 3, centers=8, reps=3)
+    assert [len(b) for b in one.arrays().books] == [1, 1, 1]
+    with pytest.raises(ValueError):
+        pq_all.pq_train_all(rows.limit(0), 3)

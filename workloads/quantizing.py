@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecloom.operators import lookups, pq
+from vecloom.operators import lookups, pq, pq_all
 from vecloom.operators.knn import exact_knn
 from vecloom.plans.scratch import stored
 from vecloom.plans.sums import vector_means
@@ -168,3 +168,30 @@ def _trained(base, q):
     book = q.codebook.agg(F.count_distinct("chunk").alias("chunks"), F.count(F.lit(1)).alias("_rows"))
     return error.crossJoin(book).select(
         "chunks", (F.col("_rows") == N * 256).alias("full_codebook"), (F.col("mean_error") < 0.5).alias("improves"), "n")
+
+
+@query("pq_lloyd_step", f"{BASE}, {CODES}, xe AS (SELECT codes.chunk, codes.code, xc.part FROM codes JOIN xc USING (id, chunk)), "
+       "pe AS (SELECT chunk, code, generate_subscripts(part, 1) - 1 AS pos, unnest(part) AS x FROM xe) "
+       "SELECT chunk, code::BIGINT AS code, pos, count(*) AS n, round(avg(x), 6) + 0.0 AS x FROM pe GROUP BY chunk, code, pos")
+def pq_lloyd_step(spark, sf):
+    """One step of all chunks over all rows, from a given codebook."""
+    base, q = i.vectors(spark, sf), quantizer(spark, sf)
+    step = pq_all.chunk_sums(base, q)
+    return step.select(
+        F.col("chunk").cast("long").alias("chunk"), F.col("code").cast("long").alias("code"), "n", F.posexplode("sums").alias("pos", "x")).select(
+        "chunk", "code", F.col("pos").cast("long").alias("pos"), "n", i.r6(F.col("x") / F.col("n")).alias("x"))
+
+
+@query("pq_train_all", "SELECT count(*) AS n, 64::BIGINT AS most_codes, true AS no_worse_than_sampled, true AS error_falls FROM embeddings")
+def pq_train_all(spark, sf):
+    """Training on every row, held against training on a fifth of them."""
+    base = stored(i.vectors(spark, sf), "base")
+    n = base.count()
+    every, errors = pq_all.pq_train_all(base, N, centers=64, reps=6)
+    some = pq.pq_train(base, N, centers=64, reps=6, rows=n // 5)
+    error = [pq.reconstruction_error(base, pq.pq_encode(base, q), q).select("n", F.col("mean_error").alias(name))
+             for q, name in ((every, "all_error"), (some, "some_error"))]
+    falls = all(b <= a * (1 + 1e-9) for a, b in zip(errors, errors[1:]))
+    codes = every.codebook.agg((F.max("code") + 1).cast("long").alias("most_codes"))
+    return error[0].crossJoin(error[1].drop("n")).crossJoin(codes).select(  # one row each
+        "n", "most_codes", (F.col("all_error") <= F.col("some_error")).alias("no_worse_than_sampled"), F.lit(falls).alias("error_falls"))
