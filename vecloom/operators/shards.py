@@ -6,12 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import DEFAULTS
-from ..functions.distances import l2sq, vec_norm
+from ..functions.distances import vec_norm
 from ..functions.hashing import seeded_order
 from ..functions.transforms import normalized
 from ..plans.arrays import Block, longs, matrix
@@ -178,11 +178,12 @@ def split_to_budget(
     df: DataFrame, budget_bytes: float, degree: int, k_base: int = DEFAULTS["k_base"], rate: float = 0.1, seed: int = 1,
     reps: int = 4,
 ) -> tuple[DataFrame, DataFrame, int]:
-    """Centres, shard estimates, and the number of fits, for shards that all fit the budget.
+    """Centres, shard estimates, and the number of rounds, for shards that all fit the budget.
 
-    Starts from few centres; in each round every shard that is too large gives its centre up for two of its rows far
-    apart, and a few Lloyd steps over the sample settle all centres at once. So the fits grow with the logarithm of the
-    number of shards. An error if a shard of equal rows does not fit.
+    Starts from a few k-means centres. In each round every shard that is too large gives its centre up for as many of its
+    rows, drawn by a seeded hash, as it needs and one more; all are assigned in one pass. Rows stay centres as they are: means
+    of few rows lie near everything, and as second choice would fill up again. An error if a shard of equal rows
+    does not fit.
     """
     sample = stored(sample_vectors(df, rate, seed).select("id", F.col("vec").cast("array<double>").alias("vec")), "sample")
     n = sample.count()
@@ -192,21 +193,24 @@ def split_to_budget(
     centers, fits = stored(kmeans(sample, min(DEFAULTS["partition_start"], n), reps, seed), "centers"), 1
     while True:
         estimate = stored(estimate_shards(sample, centers, k_base, rate), "estimate")
-        over = estimate.where(F.col("estimate") > _rows_within(budget_bytes, dim, degree)).select(F.col("shard").alias("cid"))
-        over = stored(over, "over")
+        most = _rows_within(budget_bytes, dim, degree)
+        over = stored(estimate.where(F.col("estimate") > most).select(
+            F.col("shard").alias("cid"), (F.ceil(F.col("estimate") / max(1, most)) + 1).alias("_parts")), "over")
         if over.isEmpty():
             return centers, estimate, fits
-        near = assign_centers(sample, centers, 1).select("id", "cid", "dist").join(over, "cid", "left_semi")
-        rows = stored(near.join(sample, "id"), "rows")
-        far = rows.groupBy("cid").agg(F.max_by("vec", F.struct("dist", "id")).alias("_a"))
-        pairs = rows.join(far, "cid").groupBy("cid", "_a").agg(
-            F.max(F.struct(l2sq("vec", "_a").alias("d"), "id", "vec")).alias("b"))
-        two = stored(pairs.where("b.d > 0").select("cid", F.explode(F.array("_a", "b.vec")).alias("vec")), "two")
-        if two.isEmpty():
+        near = shard_points(sample, centers, k_base).select("id", F.col("shard").alias("cid")).join(over, "cid")
+        order = Window.partitionBy("cid").orderBy("_h", "id")
+        drawn = stored(
+            near.join(sample, "id").groupBy("cid", "_parts", "vec").agg(F.min("id").alias("id"))
+            .withColumn("_h", seeded_order(seed + fits, "id")).withColumn("_n", F.row_number().over(order))
+            .where(F.col("_n") <= F.col("_parts")).select("cid", "vec"), "drawn")
+        several = drawn.groupBy("cid").count().where("count > 1").select("cid")
+        if several.isEmpty():
             raise ValueError(f"shards of equal rows do not fit {budget_bytes} bytes; raise the budget")
-        kept = centers.join(two.select("cid").distinct(), "cid", "left_anti").select("vec").unionByName(two.select("vec"))
+        fresh = drawn.join(several, "cid", "left_semi")
+        kept = centers.join(several, "cid", "left_anti").select("vec").unionByName(fresh.select("vec"))
         renumbered = number_rows(kept, ["vec"], "cid").select(F.col("cid").cast("long").alias("cid"), "vec")
-        centers, _ = lloyd(sample, stored(renumbered, "centers"), reps)
+        centers = stored(renumbered, "centers")
         fits += 1
 
 

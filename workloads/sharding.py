@@ -159,7 +159,7 @@ def split_to_budget(spark, sf):
     budget = shards.shard_bytes(n // 8, 64, 32)
     centers, estimate, fits = shards.split_to_budget(base, budget, 32, k_base=2, rate=0.5)
     sizes = shards.shard_points(base, centers, 2).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    few = fits <= 3 + math.ceil(math.log2(centers.count()))
+    few = fits <= 2 + math.ceil(math.log2(centers.count()))
     held = estimate.agg(F.max("estimate").alias("largest")).crossJoin(sizes.agg(F.sum("n").alias("total")))  # one row each
     return held.select((F.col("largest") <= n // 8).alias("fits"), F.lit(few).alias("few_fits"),
                        (F.col("total") == 2 * n).alias("covers_overlap"), F.lit(n).cast("long").alias("n"))
