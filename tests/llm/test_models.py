@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -93,6 +94,30 @@ def test_jaccard_components(make, odd, frequent):
     assert jaccard.jaccard_components(make([])).collect() == []
 
 
+def test_combinations():
+    tokens = np.sort(np.random.default_rng(4).integers(0, 2**63, 30).astype(np.uint64))
+    block = jaccard.mixed(tokens + jaccard.MIX[0]) % np.uint64(4)
+    for k in (1, 2, 3):
+        groups = sum(len(list(itertools.combinations(range(int((block == g).sum())), k))) for g in range(4))
+        made = jaccard.combinations(tokens, 4, k)
+        assert len(made) == len(set(made.tolist())) == groups
+    assert len(jaccard.combinations(tokens[:1], 4, 2)) == 0
+
+
+def test_extended_signatures_of_linked_sets_meet():
+    g = np.random.default_rng(5)
+    linked = 0
+    for n in list(range(1, 60)) * 8 + [200, 500, 3000] * 5:
+        a = np.unique(g.integers(0, 2**63, n).astype(np.uint64))
+        drop, add = g.integers(0, n // 5 + 2), g.integers(0, n // 5 + 2)
+        b = np.unique(np.concatenate([g.permutation(a)[drop:], g.integers(0, 2**63, add).astype(np.uint64)]))
+        shared = len(np.intersect1d(a, b))
+        if len(b) and 100 * shared >= 80 * (len(a) + len(b) - shared):
+            linked += 1
+            assert np.intersect1d(jaccard.extended(a, 80), jaccard.extended(b, 80)).size
+    assert linked > 150
+
+
 def test_connected_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 130)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
