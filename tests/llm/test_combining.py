@@ -110,9 +110,33 @@ def test_subset_sum(rows, budget, window):
     assert abs(got - min(budget, total)) <= lengths.max()
 
 
-def test_subset_sum_is_exact_in_the_window():
-    taken = mixing.subset_sum(np.array([7, 11, 500]), np.array([3, 2, 1]), 29)
-    assert (taken * np.array([7, 11, 500])).sum() == 29
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 4)), min_size=1, max_size=6), st.floats(0, 400), st.sampled_from([1, 4, 1 << 16]))
+def test_subset_sum_is_the_nearest(pairs, budget, window):
+    lengths, counts = (np.array(x) for x in zip(*pairs))
+    taken = mixing.subset_sum(lengths, counts, budget, window)
+    assert (taken >= 0).all() and (taken <= counts).all() and not taken[lengths == 0].any()
+    sums = {0}
+    for n, c in pairs:
+        sums = {s + n * k for s in sums for k in range(c + 1)}
+    want = min(abs(s - budget) for s in sums)
+    assert abs(int((taken * lengths).sum()) - budget) == pytest.approx(want, abs=1e-6)
+
+
+def test_subset_sum_gives_back_and_takes():
+    for lengths, counts, budget in (([10, 7], [10, 10], 70), ([5, 3], [4, 3], 9), ([7, 11, 500], [3, 2, 1], 29), ([10**6, 1], [1, 10**5], 6 * 10**5)):
+        taken = mixing.subset_sum(np.array(lengths), np.array(counts), budget)
+        got = int((taken * np.array(lengths)).sum())
+        assert got == (budget if budget < 10**5 else 10**6)
+
+
+def test_subset_sum_of_one_huge_and_many_lengths_is_bounded():
+    lengths = np.concatenate([np.arange(1, 5000), [3 * 10**8, 10**9]])
+    counts = np.concatenate([np.full(4999, 1000), [1, 1]])
+    total = int((lengths * counts).sum())
+    for budget in (total // 3, total - 10**9 - 17, 5 * 10**7 + 1):
+        taken = mixing.subset_sum(lengths, counts, budget)
+        assert int((taken * lengths).sum()) == budget
 
 
 def test_mix(make, odd):

@@ -48,57 +48,77 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 << 16) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near ``budget`` as possible.
-
-    An even share of every length is taken first. What that leaves of the budget is filled, longest first,
-    until at most ``window`` words are left, and these by a bounded knapsack over the remaining documents: a bit set
-    of reachable sums, each count split into powers of two, walked back from the reachable sum nearest the rest.
+def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: float, window: int = 1 << 16, widest: int = 1 << 22) -> np.ndarray:
+    """How many documents of each length to take so that their words come as near ``budget`` as possible; of two sums as near, the lower.
+
+    An even share of every length is taken first, longest ones added while more than ``window`` words are left. A bounded
+    knapsack then both adds and takes back: it holds the sums reachable within a window around the present one, each
+    length's count in powers of two, and for each sum the step that reached it first, so that memory is a few bytes a sum.
+    It ends when the budget is met (to the common divisor of the lengths); else the window grows until it spans all sums,
+    which makes the answer the nearest of all, or ``widest`` units, which makes it the nearest by that much change.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    counts = np.where(lengths > 0, counts, 0)
     total = int((lengths * counts).sum())
-    taken = np.zeros(len(lengths), np.int64)
     if budget <= 0 or total == 0:
-        return taken
+        return np.zeros(len(lengths), np.int64)
     if budget >= total:
-        return counts.copy()
-    taken = np.minimum(counts, (counts * (budget / total)).astype(np.int64))
-    rest = budget - int((taken * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order.tolist():
-        size = int(lengths[i])
-        if rest < 0:  # only by rounding of the even share
-            back = min(int(taken[i]), -(rest // size))
-            taken[i] -= back
-            rest += back * size
-        elif rest > window and size:
-            more = min(int(counts[i] - taken[i]), rest // size, max(0, (rest - window) // size + 1))
+        return counts
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    lengths, total, goal = lengths // unit, total // unit, budget / unit
+    taken = np.minimum(counts, (counts * (goal / total)).astype(np.int64))
+    rest = goal - int((taken * lengths).sum())
+    order = [i for i in np.argsort(lengths, kind="stable").tolist() if counts[i] > 0]
+    for i in reversed(order):
+        if rest > window:
+            more = min(int(counts[i] - taken[i]), int(rest // lengths[i]))
             taken[i] += more
-            rest -= more * size
-    if rest <= 0:
-        return taken
-    left = counts - taken
-    usable = [i for i in order[::-1].tolist() if left[i] > 0 and 0 < lengths[i] <= 2 * rest]
-    mask = (1 << (2 * rest + 1)) - 1
-    reach, steps = 1, []
-    for i in usable:
-        free, piece = int(min(left[i], 2 * rest // lengths[i])), 1
-        while free > 0:
-            k = min(piece, free)
-            steps.append((reach, i, k))
-            reach |= (reach << (k * int(lengths[i]))) & mask
-            free, piece = free - k, piece * 2
-        if reach >> rest & 1:
-            break
-    below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    above = reach >> rest
-    up = rest + (above & -above).bit_length() - 1 if above else None
-    at = up if up is not None and up - rest < rest - below else below
-    for before, i, k in reversed(steps):
-        if not before >> at & 1:
-            at -= k * int(lengths[i])
-            taken[i] += k
-    return taken
+            rest -= more * int(lengths[i])
+    spare = [i for i in order if taken[i] < counts[i]]
+    if rest > widest and spare and lengths[spare[0]] < 2 * rest:  # all that is left is longer than the rest
+        taken[spare[0]] += 1
+        rest -= int(lengths[spare[0]])
+    for i in reversed(order):
+        if rest < -window:
+            back = min(int(taken[i]), int(-rest // lengths[i]))
+            taken[i] -= back
+            rest += back * int(lengths[i])
+    width, last = min(window, total), min(total, max(widest, window))
+    while True:
+        moved, met = _nearest_change(lengths, counts - taken, taken, order, rest, width)
+        if met or width >= last:
+            return taken + moved
+        width = min(16 * width, last)
+
+
+def _nearest_change(lengths, more, less, order, rest: float, width: int) -> tuple[np.ndarray, bool]:
+    """Documents to add (or, negative, to take back) for a sum nearest ``rest`` within ``width``; and whether none can be nearer."""
+    reached, first, steps = np.zeros(2 * width + 1, bool), np.zeros(2 * width + 1, np.int32), [(0, 0)]
+    reached[width] = True
+    ideal = int(np.ceil(rest - 0.5))
+    inside = abs(ideal) <= width
+    for i in order:
+        for sign, free in ((1, int(more[i])), (-1, int(less[i]))):
+            size, piece = int(lengths[i]), 1
+            free = min(free, 2 * width // size)
+            while free > 0 and not (inside and reached[width + ideal]):
+                k = min(piece, free)
+                shift, free, piece = k * size, free - k, piece * 2
+                old, new = slice(0, 2 * width + 1 - shift), slice(shift, None)
+                if sign < 0:
+                    old, new = new, old
+                fresh = reached[old] & ~reached[new]
+                first[new][fresh] = len(steps)
+                reached[new] |= fresh
+                steps.append((i, sign * k))
+    sums = np.flatnonzero(reached) - width
+    at = int(sums[np.abs(sums - rest).argmin()])
+    moved, met = np.zeros(len(lengths), np.int64), at == ideal
+    while at:
+        i, k = steps[first[width + at]]
+        moved[i] += k
+        at -= k * int(lengths[i])
+    return moved, met
 
 
 def mix(
@@ -108,8 +128,9 @@ def mix(
     """``(doc_id, size, source_size, target, copies, taken)``, one row per input row.
 
     ``size`` counts words (null text: 0), ``copies`` how often the mix takes the row (0 to ``most``), ``taken`` its
-    words times copies. Each source's words taken are the reachable sum nearest its target. Which rows of one
-    source and length are taken more often is decided by a seeded hash of the id; rows repeated with one id are separate rows.
+    words times copies. Each source's words taken are the reachable sum nearest its target, as ``subset_sum`` states it; the
+    copies of one length go round its rows evenly. Which rows of one source and length are taken more often is decided by a
+    seeded hash of the id; rows repeated with one id are separate rows.
     A null source is a source; a row of 0 words is never taken; no rows give no rows; other columns are ignored.
 
     Only ``(source, length, rows)`` counts of a source meet in one task: at most as many rows as it has different
@@ -124,10 +145,8 @@ def mix(
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         size, rows = group["size"].to_numpy(np.int64), group["rows"].to_numpy(np.int64)
-        full, words = int(group["source_size"].iloc[0]), round(float(group["target"].iloc[0]))
-        whole = min(most, words // full) if full else 0
-        extra = subset_sum(size, rows, words - whole * full) if whole < most else np.zeros(len(size), np.int64)
-        return group.assign(whole=np.where(size > 0, whole, 0), extra=np.where(size > 0, extra, 0))
+        copies = subset_sum(size, rows * most, float(group["target"].iloc[0]))
+        return group.assign(whole=copies // rows, extra=copies % rows)
 
     same = F.col("l.source").eqNullSafe(F.col("t.source"))
     plan = stored(
