@@ -147,6 +147,54 @@ def test_segmentations_sum_to_brute_force():
     assert sum(out[n, 1] * len(p) for p, n in pieces.items()) + out[1, 1] == pytest.approx(12.0) and out[:, 0].sum() == 0
 
 
+@pytest.mark.parametrize("piece", [3, 4, 7, 50])
+def test_long_runs_are_summed_in_pieces(piece):
+    lattice = language.Lattice({"a": 2, "b": 3, "ab": 4, "ba": 5, "aba": 6}, 3)
+    g = np.random.default_rng(1)
+    prob = g.random((8, 3)) / 8
+    prob[0] = 0
+    words = ["".join(g.choice(list("abc"), n)) for n in (1, 5, 49, 50, 51, 52, 400)]
+    assert lattice.log_marginals(words, prob, piece=piece) == pytest.approx(lattice.log_marginals(words, prob, piece=1000))
+
+
+def test_language_of_unbroken_text(make):
+    """Millions of letters without a space are learned from and told."""
+    g = np.random.default_rng(2)
+    run = {x: "".join(g.choice(list(a), 1_000_000)) for x, a in (("aa", "abcd"), ("zz", "wxyzé"))}
+    rows = [(i, run[x] if i > 27 else run[x][:2000], x) for i, x in enumerate(["aa", "zz"] * 15)]
+    got = {r.doc_id: r for r in language.language_of(make(rows), tokenizer_path("piece_bpe_32k.model"), rounds=1).collect()}
+    assert all(got[r[0]].lang_pred == r[2] and got[r[0]].score > 0.99 for r in rows)
+
+
+def test_learned_probabilities_equal_brute_force(make):
+    """One round of counting from equal probabilities, all segmentations enumerated."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    pieces = language.pieces_of_model(path, 8)
+    rows = [(i, "The cat, the tea!", "en") for i in range(4)] + [(9, "eine Katze", "de"), (10, None, "de"), (11, "lost", None)]
+    langs, prob = language.learn(make(rows), path, rounds=1)
+    assert langs == ["de", "en"]
+    size = len(pieces) + 2
+
+    def cuts(w):
+        if not w:
+            yield ()
+        for k in range(1, min(8, len(w)) + 1):
+            n = pieces.get(w[:k], 1 if k == 1 else 0)
+            if n:
+                for rest in cuts(w[k:]):
+                    yield (n, *rest)
+
+    for lang, words in (("de", ["eine", "katze"]), ("en", ["the", "cat", "the", "tea"] * 4)):
+        want = np.full(size, 0.01)
+        want[0] = 0
+        for w in words:
+            every = list(cuts(language.START + w))
+            weight = np.array([float(size) ** -len(c) for c in every])
+            for c, p in zip(every, weight / weight.sum()):
+                np.add.at(want, list(c), p)
+        assert prob[:, langs.index(lang)] == pytest.approx(want / want.sum())
+
+
 def test_language(make, odd):
     text = {"en": "the house and the garden were with them this morning", "de": "das haus und der garten waren nicht für uns heute morgen"}
     rows = list(odd) + [(100 + i, f"{text[x]} {i}", x) for i, x in enumerate(["en", "de"] * 30)]

@@ -18,6 +18,8 @@ from vecloom.plans.scratch import stored
 
 LETTERS = r"[^\W\d_]+"
 START = "▁"
+#: Letters of a run that are worked on at once; longer runs go on from the sums of the piece before.
+PIECE = 1024
 
 
 def pieces_of_model(path: str, longest: int) -> dict[str, int]:
@@ -53,7 +55,7 @@ class Lattice:
             keys, numbers = np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.int32)
             missed = {}
             for h, n in left.items():
-                at = int(np.uint64(h) * multiplier >> np.uint64(64 - self.SLOTS))
+                at = (h * int(multiplier) & (1 << 64) - 1) >> (64 - self.SLOTS)
                 if numbers[at]:
                     missed[h] = n
                 else:
@@ -89,12 +91,15 @@ class Lattice:
             out[:, [where[i, i + size] for i in range(n - size + 1)]] = found
         return out
 
-    def forward(self, p: np.ndarray, spans: list[tuple[int, int]], n: int) -> tuple[list, list]:
-        """Sums of the first j characters, each row scaled to a maximum of 1, and the logs of these scales."""
+    def forward(self, p: np.ndarray, n: int, before: tuple[list, list] | None = None) -> tuple[list, list]:
+        """Sums of the first j characters, each row scaled to a maximum of 1, and the logs of these scales.
+
+        With ``before``, the sums and scales of the first characters are known and ``p`` holds the spans that end after them.
+        """
         rows = p.shape[:1] + p.shape[2:]
-        sums, scale = [np.ones(rows)], [np.zeros(rows[0])]
+        sums, scale = (list(x) for x in before or ([np.ones(rows)], [np.zeros(rows[0])]))
         at = 0
-        for j in range(1, n + 1):
+        for j in range(len(sums), n + 1):
             total = np.zeros(rows)
             for i in range(max(0, j - self.longest), j):
                 step = sums[i] * p[:, at]
@@ -107,20 +112,36 @@ class Lattice:
             scale.append(scale[j - 1] + np.log(top))
         return sums, scale
 
-    def log_marginals(self, words: list[str], prob: np.ndarray, step: int = 8192) -> np.ndarray:
+    def long_marginal(self, word: str, prob: np.ndarray, piece: int) -> np.ndarray:
+        """The same sum for one word, ``piece`` characters at a time; each piece starts from the last sums of the one before."""
+        known, begin, kept = None, 0, 0
+        while begin + kept < len(word):
+            part = word[begin:begin + kept + piece]
+            spans = self.spans(len(part))
+            p = prob[self.numbers([part], spans)[:, len(self.spans(kept)):]]
+            sums, scale = self.forward(p, len(part), known)
+            begin, kept = begin + len(part) - (self.longest - 1), self.longest - 1
+            known = sums[-self.longest:], scale[-self.longest:]
+        return np.log(np.maximum(sums[-1][0], 1e-300)) + scale[-1][0]
+
+    def log_marginals(self, words: list[str], prob: np.ndarray, step: int = 2048, piece: int = PIECE) -> np.ndarray:
         """log P(word) under every language, summed over all segmentations: ``(words, languages)``."""
         out = np.zeros((len(words), prob.shape[1]))
         for n, at in self.by_length(words):
+            if n > max(piece, self.longest):
+                for i in at:
+                    out[i] = self.long_marginal(words[i], prob, max(piece, self.longest))
+                continue
             spans = self.spans(n)
             size = max(1, step * 16 // n)
             for a in range(0, len(at), size):
                 part = at[a:a + size]
                 p = prob[self.numbers([words[i] for i in part], spans)]
-                sums, scale = self.forward(p, spans, n)
+                sums, scale = self.forward(p, n)
                 out[part] = np.log(np.maximum(sums[n], 1e-300)) + scale[n][:, None]
         return out
 
-    def expected(self, words: list[str], counts: np.ndarray, langs: np.ndarray, prob: np.ndarray, out: np.ndarray, step: int = 8192) -> None:
+    def expected(self, words: list[str], counts: np.ndarray, langs: np.ndarray, prob: np.ndarray, out: np.ndarray, step: int = 2048) -> None:
         """Add to ``out[piece, language]`` how often each piece is expected in the words of a language."""
         for n, at in self.by_length(words):
             spans = self.spans(n)
@@ -130,7 +151,7 @@ class Lattice:
                 ids = self.numbers([words[i] for i in part], spans)
                 lang = langs[part]
                 p = prob[ids, lang[:, None]][:, :, None]
-                sums, scale = self.forward(p, spans, n)
+                sums, scale = self.forward(p, n)
                 # The same from the end, in the scales of the forward sums: back[j] is P(rest after j) * exp(scale[j] - scale[n]).
                 back = [np.zeros(len(part))] * n + [1.0 / sums[n][:, 0]]
                 weight = np.empty((len(part), len(spans)))
@@ -178,20 +199,23 @@ def learn(
 
     Words are counted per input task and language first; each round then reads only these counts.
     A pass returns at most pieces x languages numbers, whatever the input; more than ``max_languages``
-    different values are an error. Rows without text or language teach nothing.
+    different values are an error. Rows without text or language teach nothing. Here a run of over ``PIECE`` letters
+    counts as several: it is cut after every ``PIECE`` letters. Counts leave a task after 64 MB of text at the latest.
     """
     named = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = re.compile(LETTERS).findall
         seen: dict[str, Counter] = {}
+        held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, raw in seen.items():
                 c: Counter = Counter()
                 for w, n in raw.items():
                     for r in runs_of(w, cut):
-                        c[r] += n
+                        for a in range(0, len(r), PIECE):
+                            c[START + r[a:a + PIECE] if a == 0 else r[a:a + PIECE]] += n
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())],
                     ["lang", "word", "n"])
@@ -200,8 +224,10 @@ def learn(
         for batch in slices(batches):
             for text, lang in zip(texts_of(batch), batch.column(1).to_pylist()):
                 seen.setdefault(lang, Counter()).update(raw_words(text))
-            if sum(map(len, seen.values())) > 400_000:
+            held += batch.nbytes
+            if held > 64 << 20 or sum(map(len, seen.values())) > 400_000:
                 yield from flush()
+                held = 0
         yield from flush()
 
     words = stored(named.mapInArrow(count, "lang string, word string, n bigint"), "words")
@@ -222,7 +248,7 @@ def learn(
             out = np.zeros_like(prob)
             for batch in batches:
                 lang = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
-                text = [START + w for w in batch.column(1).to_pylist()]
+                text = batch.column(1).to_pylist()
                 lattice.expected(text, batch.column(2).to_numpy().astype(float), lang, prob, out)
             at = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.ravel()[at])], ["cell", "n"])
@@ -243,7 +269,8 @@ def identify(
     """``(doc_id, lang_pred, score)``, one row per input row, repeated ids included; with ``keep`` these columns instead of the id.
 
     The score is the probability of the best language among all, each equally likely beforehand; ties go
-    to the first by name. ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
+    to the first by name. ``und`` with score 0 if the text is null or has no letter, or nothing was learned. A run of
+    letters of any length is summed over all its segmentations, in pieces, so a text without spaces takes no more memory.
     """
     pieces = pieces_of_model(vocabulary, longest)
     sent = docs.sparkSession.sparkContext.broadcast((pieces, prob))
@@ -253,12 +280,14 @@ def identify(
         lattice = Lattice(pieces, longest)
         cut = re.compile(LETTERS).findall
         number: dict[str, int] = {}
-        logs = np.zeros((1 << 14, len(langs)))
-        for batch in slices(batches):
-            if len(number) > 400_000:
+        logs, held = np.zeros((1 << 14, len(langs))), 0
+        for batch in slices(batches, 2 << 20):
+            if len(number) > 400_000 or held > 32 << 20:
                 number.clear()
-            lists = [raw_words(t) for t in texts_of(batch, "_text")]
+                held = 0
+            lists = [raw_words(t) for t in texts_of(batch, name)]
             new = list(set().union(*lists).difference(number))
+            held += sum(map(len, new))
             first = len(number)
             if first + len(new) > len(logs):
                 logs = np.concatenate([logs, np.zeros((first + 2 * len(new), len(langs)))])
@@ -286,12 +315,13 @@ def identify(
                 names.append(langs[best])
                 scores.append(float(1.0 / np.exp(ll - ll[best]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*batch.schema.names[:-1], "lang_pred", "score"])
+                [*batch.columns[:shown_n], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [*batch.schema.names[:shown_n], "lang_pred", "score"])
 
     shown = [F.col(id_col).cast("long").alias("doc_id")] if keep is None else [F.col(c) for c in keep]
-    rows = docs.select(*shown, F.col(text_col).alias("_text"))
-    schema = T.StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
+    shown_n, name = len(shown), text_col if text_col in (keep or ()) else "_text"
+    rows = docs.select(*shown) if name == text_col else docs.select(*shown, F.col(text_col).alias(name))
+    schema = T.StructType(rows.schema.fields[:shown_n]).add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)
 
 
