@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vecloom.llm import decontamination, jaccard, language, lm, quality, substrings
+from vecloom.llm import attention, decontamination, jaccard, language, lm, quality, substrings
 from vecloom.llm.components import connected_components
 from vecloom.llm.queries import tokenizer_path
 from vecloom.llm.suffixes import suffix_array
@@ -211,30 +211,119 @@ def test_language(make, odd):
     assert language.language_of(make([]), tokenizer_path("piece_bpe_32k.model")).collect() == []
 
 
-def test_gradient():
-    model = lm.Attention(lm.Attention().flat + np.random.default_rng(5).normal(size=lm.Attention().flat.size) * 0.1)
+@pytest.fixture(scope="module")
+def model():
+    """A small vocabulary with common ids, ids never seen, and classes of several ids; values far from their start."""
+    g = np.random.default_rng(5)
+    words = attention.Vocabulary(np.concatenate([1000 / np.arange(1, 200), np.zeros(700), [50]]))
+    start = attention.Attention(words)
+    return attention.Attention(words, {k: v + g.normal(size=v.shape).astype(np.float32) * np.float32(0.2) for k, v in start.p.items()})
+
+
+def brute_log_probs(model, ranks):
+    """Log probabilities of every next rank after each place of one sequence, in plain steps."""
+    p, words = model.p, model.words
+    inputs = np.concatenate([[0], ranks[:-1]])
+    out = []
+    for t in range(len(ranks)):
+        first = max(0, t // attention.STEP * attention.STEP + attention.STEP - attention.SPAN)
+        x = p["E"][inputs[first:t + 1]].astype(float)
+        s = (x[-1] @ p["q"]) @ (x @ p["k"]).T / np.sqrt(attention.WIDTH) + p["r"][t - np.arange(first, t + 1)]
+        s = np.exp(s - s.max())
+        h = x[-1] + (s / s.sum()) @ (x @ p["v"]) @ p["o"]
+        z = h @ p["w"].T + p["b"]
+        z -= np.log(np.exp(z - z.max()).sum()) + z.max()
+        inside = h @ p["M"].T + p["m"]
+        every = np.empty(len(words))
+        for c in range(len(z)):
+            a, b = words.starts[c], words.starts[c + 1]
+            every[a:b] = z[c] + inside[a:b] - np.log(np.exp(inside[a:b]).sum())
+        out.append(every)
+    return np.array(out)
+
+
+def test_vocabulary():
+    words = attention.Vocabulary(np.concatenate([1000 / np.arange(1, 200), np.zeros(2000), [50]]))
+    assert sorted(words.rank.tolist()) == list(range(len(words))) and words.rank[-1] == 0
+    sizes = np.diff(words.starts)
+    assert sizes[0] == 1 and sizes.min() > 0 and sizes.max() <= attention.LARGEST and sizes.sum() == len(words)
+    assert (np.repeat(np.arange(len(sizes)), sizes) == words.classes).all()
+    total = np.exp(words.class_bias[words.classes] + words.bias)
+    assert total.sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_scores_equal_brute_force_and_next_ids_sum_to_one(model):
+    g = np.random.default_rng(1)
+    lengths = np.array([1, 40, 16, 3, 90])
+    ranks = np.minimum(g.integers(0, 900, lengths.sum()), g.integers(0, 901, lengths.sum()))
+    got = np.zeros(len(ranks))
+    for ids, ok, goal, scored, place in attention.batches_of(ranks, lengths, 3):
+        got[place[scored]] = model.log_probs(ids, ok, goal, scored)
+    at = 0
+    for n in lengths:
+        every = brute_log_probs(model, ranks[at:at + n])
+        assert np.exp(every).sum(1) == pytest.approx(1, abs=1e-5)
+        assert got[at:at + n] == pytest.approx(every[np.arange(n), ranks[at:at + n]], abs=1e-3)
+        at += n
+
+
+def test_gradient(model):
     g = np.random.default_rng(1)
-    ids, goal = g.integers(0, lm.CLASSES, (3, lm.SPAN)), g.integers(0, lm.CLASSES, (3, lm.STEP))
-    valid = np.ones((3, lm.SPAN), bool)
-    valid[0, :lm.SPAN - lm.STEP] = False
-    scored = valid[:, lm.SPAN - lm.STEP:]
-    grad = model.gradient(ids, valid, goal, scored)
-    loss = lambda m: -m.log_probs(ids, valid, goal).mean()
-    for at in g.choice(len(grad), 25, replace=False):
-        up, down = lm.Attention(model.flat.copy()), lm.Attention(model.flat.copy())
-        up.flat[at] += 0.05
-        down.flat[at] -= 0.05
-        assert (loss(up) - loss(down)) / 0.1 == pytest.approx(grad[at], abs=3e-3)
+    ids, goal = g.integers(0, 900, (3, attention.SPAN)), g.integers(0, 900, (3, attention.STEP))
+    valid = np.ones((3, attention.SPAN), bool)
+    valid[0, :attention.SPAN - attention.STEP] = False
+    scored = valid[:, attention.SPAN - attention.STEP:].copy()
+    scored[1, 3:7] = False
+    whole, rows = model.gradient(ids, valid, goal, scored)
+    full = {name: np.zeros(v.shape) for name, v in model.p.items()}
+    for name, at, v in [(name, slice(None), v) for name, v in whole.items()] + rows:
+        full[name][at] += v
+
+    def loss(name, place, by):
+        values = {k: v.astype(float) for k, v in model.p.items()}
+        values[name][place] += by
+        return -attention.Attention(model.words, values).log_probs(ids, valid, goal, scored).mean()
+
+    for name, v in full.items():
+        most = np.unravel_index(np.argsort(-np.abs(v).ravel())[[0, 3, 9]], v.shape)
+        for place in zip(*most):
+            assert (loss(name, place, 1e-3) - loss(name, place, -1e-3)) / 2e-3 == pytest.approx(v[place], rel=0.02, abs=1e-5)
 
 
 def test_windows_score_each_position_once():
     lengths = np.array([1, 40, 16, 3])
     hits = np.zeros(60, int)
-    for _, _, _, scored, place in lm.batches_of(np.arange(60) % lm.CLASSES, lengths, 2):
+    for _, _, _, scored, place in attention.batches_of(np.arange(60), lengths, 2):
         np.add.at(hits, place[scored], 1)
     assert (hits == 1).all()
 
 
+def test_stretches_cover_every_word_once():
+    texts = [None, b"", b"one", " ".join(prose(3, 64)).encode(), " ".join(prose(4, 5000)).encode()]
+    for text in texts:
+        every = [x for turn in range(16) for x in lm.stretches(text, 16, turn)]
+        assert Counter(w for x, _, _ in every for w in x) == Counter((text or b"").split())
+        assert sum(first for _, first, _ in every) == sum(last for _, _, last in every) == 1
+
+
+def test_summed(spark):
+    rows = [(k, np.full(3, i, np.float32).tobytes()) for i in range(40) for k in (-1, 4, 9)]
+    got = lm.summed(spark.createDataFrame(rows, "key int, data binary").repartition(7))
+    assert {k: v.tolist() for k, v in got.items()} == {k: [780.0] * 3 for k in (-1, 4, 9)}
+
+
+def test_training_lifts_held_out_texts(make):
+    """Words put together from syllables, in two languages, against the start: subwords by their counts, without context."""
+    g = np.random.default_rng(7)
+    parts = ("ba lo mi ren to sa fel gu da pri no ve cas ti".split(), "schu ker ung eit wo zim hef kro lau tze bur nig dach mel".split())
+    rows = [(i, " ".join("".join(g.choice(parts[i % 2], g.integers(2, 6))) for _ in range(150)).title()) for i in range(1500)]
+    held = [[r for r in lm.score_texts(make(rows), tokenizer_path(), rate=3, windows=8, rounds=n).collect() if r.held_out] for n in (0, 3)]
+    start, trained = ({r.doc_id: r.score / r.n_tokens for r in x} for x in held)
+    assert len(start) > 150 and set(start) == set(trained)
+    gain = np.array([trained[i] - start[i] for i in start])
+    assert (gain > 0).all() and gain.mean() > 1
+
+
 def test_score_texts(make, odd):
     rows = list(odd) + [(100 + i, " ".join(prose(i % 9, 120))) for i in range(60)]
     got = lm.score_texts(make(rows), tokenizer_path()).collect()
