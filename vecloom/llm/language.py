@@ -214,8 +214,9 @@ def learn(
                 c: Counter = Counter()
                 for w, n in raw.items():
                     for r in runs_of(w, cut):
-                        for a in range(0, len(r), PIECE):
-                            c[START + r[a:a + PIECE] if a == 0 else r[a:a + PIECE]] += n
+                        c[START + r[:PIECE]] += n
+                        for a in range(PIECE, len(r), PIECE):
+                            c[r[a:a + PIECE]] += n
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())],
                     ["lang", "word", "n"])
