@@ -1,10 +1,11 @@
 """Kernels and reports that must neither make all pairs nor make their input twice."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.operators import evaluate
+from vecloom.operators import evaluate, search
 from vecloom.operators.ranges import range_join
 from vecloom.plans.arrays import Block, pair_distance
 
@@ -61,3 +62,9 @@ def test_range_recall_counts_each_pair_once(spark):
     truth, found = rows([(1, 5), (1, 5), (1, 6), (2, 5)]), rows([(1, 5), (1, 5), (1, 9), (3, 1)])
     got = evaluate.range_recall(found, truth, spark.createDataFrame([(1,), (2,), (3,)], "qid long")).first()
     assert (got.range_recall, got.n_queries) == (50.0, 3)
+
+
+def test_neighbours_of_many_points_at_once():
+    index = search._Index(np.array([2, 4, 9]), pa.array([[0.0]] * 3), np.array([0, 2, 2, 3]), np.array([1, 2, 0]), None)
+    owner, at = index.around(np.array([0, 0, 1, 1]), np.array([9, 2, 4, 5]))
+    assert sorted(zip(owner.tolist(), at.tolist())) == [(0, 0), (0, 1), (0, 2)]
