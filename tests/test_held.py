@@ -18,6 +18,48 @@ from vecloom.plans.arrays import pair_distance
 from vecloom.sources import buckets, snapshot, truthfiles, vecfiles
 
 
+@pytest.mark.parametrize("metric", ["l2", "mips", "cosine"])
+def test_many_lists_are_pruned_like_each_alone(metric):
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 30, 40)
+    group = np.repeat(np.arange(40), sizes)
+    x = rng.normal(size=(len(group), 5))
+    x[rng.integers(0, len(x), 200)] = x[0]
+    d = pair_distance(metric, x, np.repeat(rng.normal(size=(1, 5)), len(x), 0))
+    order = np.lexsort((d, group))
+    d, x = d[order], x[order]
+    labels = [{int(v) for v in rng.choice([0, 1, 64, 65, 130], rng.integers(1, 3))} for _ in group]
+    masks = prune.label_masks(pa.array([[*v, *range(200, 330)] for v in labels]))  # three words
+    assert masks.shape[1] > 1
+    got = prune._prune_lists(group, d, x, 6, np.float32(1.2), metric, masks)
+    for n in range(40):
+        mine = np.flatnonzero(group == n)
+        want = naive_prune(d[mine], x[mine], 6, 1.2, metric, [labels[i] for i in mine])
+        assert np.flatnonzero(got[mine]).tolist() == want
+
+
+@pytest.mark.parametrize("options", [{}, {"guard": True}, {"saturate": True}])
+def test_pruning_joins_no_vectors_that_fit(spark, points, monkeypatch, options):
+    df, _, _ = points
+    asked = df.where("id % 3 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    from vecloom.operators.knn import exact_knn
+    candidates = exact_knn(df, asked, 30, skip_same=True).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
+    candidates = candidates.unionByName(candidates.limit(50)).unionByName(candidates.limit(5).withColumn("dst", F.lit(10**9)))
+    held = prune.robust_prune(candidates, df, 6, **options)
+    assert "Join" not in held._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(prune, "fetch_held", lambda *_: None)
+    joined = prune.robust_prune(candidates, df, 6, **options)
+    assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, joined.collect()))
+
+
+def test_repeated_ids_are_joined(spark):
+    rows = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (2, [5.0])], "id long, vec array<double>")
+    candidates = spark.createDataFrame([(1, 2, 1.0)], "src long, dst long, dist double")
+    assert prune._held(rows, False) is None
+    assert prune.robust_prune(candidates, rows, 2, saturate=True).count() == 2
+
+
 def test_a_walk_in_tasks_keeps_its_lists_alone(spark, points):
     df, _, _ = points
     edges = spark.range(299).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("dist"))
