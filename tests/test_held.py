@@ -88,3 +88,28 @@ print("FOUND", graph_search(edges, points, asked, points.where("id = 0").select(
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=200)
     assert "FOUND 7" in done.stdout, done.stderr[-2000:]
+
+
+def test_range_truth_of_many_files_is_one_plan(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "range")
+    queries = spark.range(60).select(F.col("id").alias("qid"))
+    pairs = spark.range(60).where("id % 4 <> 1").selectExpr("id AS qid", "explode(sequence(0L, id)) AS id").withColumn("dist", -F.col("id") * 1.0)
+    want = sorted((q, q - i, i) for q in range(60) if q % 4 != 1 for i in range(q + 1))
+    for per_file in (2, 1_000):
+        for block in (1 << 20, 7):
+            monkeypatch.setattr(truthfiles, "BLOCK", block)
+            monkeypatch.setattr(truthfiles, "COUNT_BLOCK", 65_536 if block > 7 else 5)
+            if block > 7:
+                truthfiles.write_range_truth(pairs, queries, f"{path}-{per_file}", queries_per_file=per_file)
+            back = truthfiles.read_range_truth(spark, f"{path}-{per_file}")
+            assert "Union" not in back._jdf.queryExecution().optimizedPlan().toString()
+            assert sorted((r.qid, r.pos, r.id) for r in back.collect()) == want
+
+
+def test_truth_is_read_without_a_join(spark, tmp_path):
+    path = str(tmp_path / "truth")
+    truth = spark.range(90).selectExpr("id DIV 3 AS qid", "CAST(id % 3 + 1 AS INT) AS rank", "id * 7 AS id", "CAST(id AS DOUBLE) AS dist")
+    truthfiles.write_truth(truth, path, queries_per_file=4)
+    back = truthfiles.read_truth(spark, path)
+    assert "Join" not in back._jdf.queryExecution().optimizedPlan().toString()
+    assert back.exceptAll(truth).isEmpty() and back.count() == 90
