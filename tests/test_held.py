@@ -113,3 +113,15 @@ def test_truth_is_read_without_a_join(spark, tmp_path):
     back = truthfiles.read_truth(spark, path)
     assert "Join" not in back._jdf.queryExecution().optimizedPlan().toString()
     assert back.exceptAll(truth).isEmpty() and back.count() == 90
+
+
+def test_files_make_their_rows_once(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id DIV 10 AS qid", "id", "CAST(id % 10 + 1 AS INT) AS rank", "CAST(id AS DOUBLE) AS dist", "array(CAST(id AS FLOAT)) AS vec")
+    queries = spark.range(20).select(F.col("id").alias("qid"))
+    for n, write in enumerate((
+            lambda t, p: truthfiles.write_truth(t, p, queries_per_file=3),
+            lambda t, p: truthfiles.write_range_truth(t, queries, p, queries_per_file=3),
+            lambda t, p: vecfiles.write_vectors(t, p, "fvecs", rows_per_file=30))):
+        once, made = counted(rows, spark)
+        write(once, str(tmp_path / f"out-{n}"))
+        assert made.value == 200
