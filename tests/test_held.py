@@ -125,3 +125,23 @@ def test_files_make_their_rows_once(spark, tmp_path):
         once, made = counted(rows, spark)
         write(once, str(tmp_path / f"out-{n}"))
         assert made.value == 200
+
+
+def test_very_many_buckets_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "FOLDERS", 4)
+    path, rows = str(tmp_path / "delta"), spark.range(60).selectExpr("id", "id * 2 AS x")
+    first = snapshot.save_delta_snapshot(spark, path, 0, {"t": ("id", rows)}, buckets=50)
+    changed = rows.withColumn("x", F.when(F.col("id") == 7, -1).otherwise(F.col("x"))).where("id <> 9")
+    second = snapshot.save_delta_snapshot(spark, path, 1, {"t": ("id", changed)}, buckets=50)
+    assert second["t"] <= 2 < first["t"] <= 50
+    for version, want in ((0, rows), (1, changed)):
+        got = snapshot.load_delta_snapshot(spark, path, version)["t"]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    for gen in glob(f"{path}/t/gen=*"):
+        assert len(glob(f"{gen}/bucket=*")) <= 4
+    table = buckets.BucketTable(spark, str(tmp_path / "merged"), "id", "id long, x long", 50)
+    gens = table.merge([buckets.EMPTY] * 50, 0, rows)
+    gens = table.merge(gens, 1, rows.where("id = 3").withColumn("x", F.lit(5)), rows.where("id IN (4, 5)").select("id"))
+    got = {r.id: r.x for r in table.read(gens).collect()}
+    assert got == {**{n: 2 * n for n in range(60) if n not in (4, 5)}, 3: 5}
+    assert [r.x for r in table.matching(gens, rows.where("id = 3").select("id")).collect()] == [5]
