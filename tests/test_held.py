@@ -69,6 +69,15 @@ def test_a_walk_in_tasks_keeps_its_lists_alone(spark, points):
     assert walk.results(5).count() == 45
 
 
+def test_of_rows_that_share_a_qid_one_walks(spark, points):
+    df, _, _ = points
+    edges = spark.range(299).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("dist"))
+    asked = df.where("id < 9").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    walk = graph_search(edges, df, asked.unionByName(asked.where("id < 3")), df.where("id = 0").select("id"), 5, 12)
+    rows = walk.stats.collect()
+    assert len(rows) > 9 and sorted(r.qid for r in rows if r.n_hops) == list(range(9))
+
+
 def test_walks_need_no_package_on_the_workers(tmp_path):
     """The index travels as plain arrays, as everything else does."""
     script = tmp_path / "walk.py"
