@@ -378,3 +378,28 @@ def test_common_subsequence(x, y):
         for j in range(len(y)):
             table[i + 1, j + 1] = table[i, j] + 1 if x[i] == y[j] else max(table[i, j + 1], table[i + 1, j])
     assert decontamination.common_subsequence(x, y).bit_count() == table[-1, -1]
+
+
+def test_decontamination_parts():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(0, 90, 60)
+    marks = rng.integers(0, 41, lengths.sum()).astype("<u2")
+    row, place, word = decontamination.features_of(marks, lengths, np.arange(-1, 40))
+    assert len(row) == (marks > 0).sum() and all(marks[(np.cumsum(lengths) - lengths)[r] + p] == w + 1 for r, p, w in zip(row, place, word))
+    items = [rng.integers(0, 40, n) for n in (3, 20, 40)]
+    counts = np.array([np.bincount(x, minlength=40) for x in items]).T.astype(np.uint8)
+    may = decontamination.coverable(row, word, 60, counts, np.array([3, 20, 40]), 0.7)
+    for r in range(60):
+        own = set(word[row == r].tolist())
+        for i, x in enumerate(items):
+            assert may[r, i] == (sum(w in own for w in x.tolist()) / len(x) >= 0.7)
+    key, feat, n = decontamination.passages_of(row, place, word, 16, 32)
+    starts, value = decontamination.weighted(key, feat, n, rng.random(40) + 0.1)
+    dense = np.zeros((len(starts), 40))
+    dense[np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key)))), feat] = value
+    random = rng.normal(size=(40, 8)).astype(np.float32)
+    for most in (1, 300, 1 << 21):  # what is kept goes into the result early, now and then or at the end
+        gram = decontamination.Gram(random, most)
+        for _ in range(2):
+            gram.add(starts, feat, value)
+        assert np.allclose(gram.result(), 2 * dense.T @ (dense @ random), rtol=1e-4, atol=1e-4)
