@@ -153,3 +153,59 @@ def test_last_writer_forgets_deleted(spark, tmp_path):
     assert seen[3] == {1: "insert", 2: "insert", 3: "insert", 4: "insert"}
     with pytest.raises(ValueError):
         last_writer_state(stream, out, ck, keep_deleted_ms=5)
+
+
+def test_last_op_of_a_bucket():
+    """One read, one write and one merge serve all tags of a bucket; the timer is that of the first delete."""
+    import pandas as pd
+
+    from vecloom.streaming.last_writer import LastOp
+
+    class Handle:
+        def __init__(self):
+            self.value, self.timers, self.calls = None, [], []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def deleteTimer(self, timer):
+            self.timers = [t for t in self.timers if t != timer]
+
+        def registerTimer(self, timer):
+            self.timers.append(timer)
+
+    class At:
+        getExpiryTimeInMs = getCurrentWatermarkInMs = lambda self: 6_000
+
+    def frame(rows):
+        return pd.DataFrame([(t, u, pd.Timestamp(ts, unit="s"), o, op) for t, u, ts, o, op in rows], columns=["tag", "untagged", "ts", "op_id", "op"])
+
+    handle, state = Handle(), LastOp(1_000)
+    state.init(handle)
+    many = [(t, False, 1, t, "insert") for t in range(500)]
+    first = list(state.handleInputRows((1,), iter([frame(many), frame([(0, True, 2, 900, "delete"), (7, False, 5, 901, "delete"), (8, False, 0, 902, "delete")])]), None))
+    assert len(first) == 1 and handle.calls == ["update"] and handle.timers == [3_000]
+    got = {(None if r.tag is None or pd.isna(r.tag) else int(r.tag)): (r.op_id, r.op) for r in first[0].itertuples()}
+    assert len(got) == 501 and got[None] == (900, "delete") and got[7] == (901, "delete") and got[8] == (8, "insert")
+    assert list(state.handleInputRows((1,), iter([frame([(7, False, 4, 999, "insert")])]), None)) == []  # older: nothing changes
+    gone = list(state.handleExpiredTimer((1,), At(), At()))[0]
+    assert sorted(gone["op_id"]) == [900, 901] and gone["expired"].all() and handle.timers == []
+    again = list(state.handleInputRows((1,), iter([frame([(7, False, 4, 999, "insert")])]), None))[0]
+    assert again["op_id"].tolist() == [999]
