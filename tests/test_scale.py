@@ -68,3 +68,31 @@ def test_neighbours_of_many_points_at_once():
     index = search._Index(np.array([2, 4, 9]), pa.array([[0.0]] * 3), np.array([0, 2, 2, 3]), np.array([1, 2, 0]), None)
     owner, at = index.around(np.array([0, 0, 1, 1]), np.array([9, 2, 4, 5]))
     assert sorted(zip(owner.tolist(), at.tolist())) == [(0, 0), (0, 1), (0, 2)]
+
+
+def test_newest_rows_of_a_batch(spark):
+    """Only the window's rows are placed, ties at its edge included; places are those among all rows."""
+    from vecloom.streaming.live_graph import _newest
+    rows = [(None if n < 2 else n // 4, n, [float(n)], ["x"]) for n in range(400)]
+    df = spark.createDataFrame(rows, "ts long, tag long, vec array<double>, labels array<string>").repartition(5)
+    for window, kept in ((30, 30), (1, 1), (400, 400), (1000, 400), (399, 399)):
+        got = sorted((r.seq, r.tag) for r in _newest(df, 400, window).collect())
+        assert got == [(n, n) for n in range(400 - kept, 400)]
+
+
+def test_a_query_meets_reached_rings_only(spark, monkeypatch):
+    """Around one centre a query with a small ball meets the few rows at its own distance, and loses none."""
+    from vecloom.operators import ranges
+    met = []
+    cells = ranges.cell_pairs
+
+    def counted(base, queries, *args, by, **options):
+        met.append(base.groupBy(by).count().join(queries, by).agg(F.sum("count")).first()[0])
+        return cells(base, queries, *args, by=by, **options)
+
+    monkeypatch.setattr(ranges, "cell_pairs", counted)
+    df = spark.createDataFrame([(n, [n / 10, 0.0]) for n in range(200)], "id long, vec array<double>")
+    center = spark.createDataFrame([(5, [0.0, 0.0])], "cid long, vec array<double>")
+    got = range_join(df, df.toDF("qid", "qvec"), 0.25 + 1e-9, centers=center).collect()
+    assert len(got) == sum(abs(a - b) <= 5 for a in range(200) for b in range(200))
+    assert met[0] < 0.3 * 200 * 200
