@@ -74,3 +74,15 @@ def test_training_on_all_rows(spark, points):
     assert [len(b) for b in one.arrays().books] == [1, 1, 1]
     with pytest.raises(ValueError):
         pq_all.pq_train_all(rows.limit(0), 3)
+
+
+def test_a_chunk_is_trained_in_little_more_than_its_rows():
+    import tracemalloc
+    x = np.random.default_rng(2).normal(size=(200_000, 8)).round(2)
+    tracemalloc.start()
+    try:
+        out = pq._seeded_lloyd(x, 4, 2, 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.shape == (4, 8) and peak < 1.5 * x.nbytes

@@ -24,6 +24,7 @@ from .knn import nearest_pairs, rank_results
 from .shards import sample_vectors
 
 GB = 1 << 30
+SLICE = 1 << 15       # rows of a training sample that are worked on at once
 CACHE_GB = 0.25       # fixed value: share held back for cached nodes
 CACHE_FROM_GB = 1.0   # fixed value: only when more than this remains
 
@@ -141,23 +142,33 @@ def _mean_row(df: DataFrame, center: bool) -> DataFrame:
 
 
 def _seeded_lloyd(x: np.ndarray, k: int, reps: int, seed: int) -> np.ndarray:
-    """k-means++ starts and Lloyd steps over one chunk of a bounded sample; empty centres stay."""
+    """k-means++ starts and Lloyd steps over one chunk of a bounded sample; empty centres stay.
+
+    ``x`` is sorted in place, and besides it only a few numbers per row are held at a time.
+    """
     rng = np.random.default_rng(seed)
-    x = x[np.lexsort(x.T)]
-    centers = [x[rng.integers(len(x))]]
-    gap = ((x - centers[0]) ** 2).sum(1)
+    order = np.lexsort(x.T)
+    for c in range(x.shape[1]):
+        x[:, c] = x[order, c]
+    del order
+    parts = [slice(a, a + SLICE) for a in range(0, len(x), SLICE)]
+    centers = [x[rng.integers(len(x))].copy()]
+    gap = np.concatenate([((x[s] - centers[0]) ** 2).sum(1) for s in parts])
     while len(centers) < min(k, len(x)):
         total = gap.sum()
         if total <= 0:
             break
-        centers.append(x[min(np.searchsorted(np.cumsum(gap), rng.random() * total), len(x) - 1)])
-        gap = np.minimum(gap, ((x - centers[-1]) ** 2).sum(1))
+        centers.append(x[min(np.searchsorted(np.cumsum(gap), rng.random() * total), len(x) - 1)].copy())
+        for s in parts:
+            gap[s] = np.minimum(gap[s], ((x[s] - centers[-1]) ** 2).sum(1))
     out = np.array(centers)
-    ids = np.arange(len(x))
     last = np.inf
     for _ in range(reps):
-        _, at, d = Block(np.arange(len(out)), out, "l2").nearest(ids, x, 1)
-        sums, counts = add_exact(at, len(out), x)
+        block, sums, counts, d = Block(np.arange(len(out)), out, "l2"), np.zeros(out.shape), np.zeros(len(out), np.int64), gap
+        for s in parts:
+            _, at, d[s] = block.nearest(np.arange(len(x[s])), x[s], 1)
+            np.add.at(sums, at, x[s])
+            counts += np.bincount(at, minlength=len(out))
         out = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], out)
         if last < np.inf and (last - d.sum()) <= 1e-5 * last:
             break
@@ -182,14 +193,19 @@ def _train_chunks(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(x), c, np.int32)), list_column(x[:, lo:hi], pa.float64())], ["chunk", "part"])
 
-    def train(key, table):
+    n_rows = prepared.count()
+
+    def train(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = key[0].as_py()
-        out = _seeded_lloyd(matrix(table.column("part")), centers, reps, seed + c)
-        return pa.table({
-            "chunk": pa.array(np.full(len(out), c, np.int32)),
-            "code": pa.array(np.arange(len(out), dtype=np.int32)),
-            "centroid": list_column(out, pa.float64()),
-        })
+        lo, hi = bounds[c]
+        x, n = np.empty((n_rows, hi - lo)), 0
+        for batch in batches:  # each is copied into place and let go
+            x[n:n + batch.num_rows] = matrix(batch.column("part"))
+            n += batch.num_rows
+        out = _seeded_lloyd(x[:n], centers, reps, seed + c)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(out), c, np.int32)), pa.array(np.arange(len(out), dtype=np.int32)), list_column(out, pa.float64())],
+            ["chunk", "code", "centroid"])
 
     parts = prepared.select("vec").mapInArrow(cut, "chunk int, part array<double>")
     return parts.groupBy("chunk").applyInArrow(train, "chunk int, code int, centroid array<double>")
