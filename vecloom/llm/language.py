@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.common import remainder, slices, texts_of
+from vecloom.llm.common import give_back, remainder, slices, texts_of
 from vecloom.plans.scratch import stored
 
 LETTERS = r"[^\W\d_]+"
@@ -205,6 +205,7 @@ def learn(
     named = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back("encoders")
         cut = re.compile(LETTERS).findall
         seen: dict[str, Counter] = {}
         held = 0
@@ -244,6 +245,7 @@ def learn(
         sent = words.sparkSession.sparkContext.broadcast((pieces, prob, {x: i for i, x in enumerate(langs)}))
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            give_back("encoders")
             pieces, prob, number = sent.value
             lattice = Lattice(pieces, longest)
             out = np.zeros_like(prob)
@@ -277,6 +279,7 @@ def identify(
     sent = docs.sparkSession.sparkContext.broadcast((pieces, prob))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back("encoders")
         pieces, prob = sent.value
         lattice = Lattice(pieces, longest)
         cut = re.compile(LETTERS).findall
