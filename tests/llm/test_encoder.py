@@ -3,6 +3,7 @@
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from vecloom.llm.common import give_back, process_cache
 from vecloom.llm.queries import tokenizer_path
 from vecloom.llm.token_files import Encoder
 
@@ -18,3 +19,10 @@ def test_pieces_that_come_up_again_outlive_the_others_and_ids_stay_those_of_the_
         assert len(coder.number) <= 60 + 80
     coder._make_room()
     assert {" the", " same", " words,", " again", " über"} <= set(coder.number) and len(coder.number) <= 60
+
+
+def test_a_worker_that_turns_to_other_work_gives_the_encoders_back():
+    kept = process_cache("encoders-of-a-test")
+    kept["path"] = object()
+    give_back("encoders-of-a-test")
+    assert not kept and process_cache("encoders-of-a-test") is kept
