@@ -403,3 +403,30 @@ def test_decontamination_parts():
         for _ in range(2):
             gram.add(starts, feat, value)
         assert np.allclose(gram.result(), 2 * dense.T @ (dense @ random), rtol=1e-4, atol=1e-4)
+
+
+def test_odd_cells_never_say_more_than_two_sets_differ():
+    g = np.random.default_rng(6)
+    for n, k in [(0, 3), (1, 1), (40, 7), (400, 90), (5000, 3000)]:
+        a = np.unique(g.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[k:], g.integers(0, 2**63, k).astype(np.uint64)]))
+        told = int(np.bitwise_count(jaccard.odd_cells(a) ^ jaccard.odd_cells(b)).sum())
+        assert told <= len(np.setxor1d(a, b))
+        assert n > 400 or told >= 0.9 * len(np.setxor1d(a, b))
+
+
+def test_copies_that_differ_too_much_are_told_apart_before_they_are_paired(make, monkeypatch):
+    """A large group of copies of which none links: pairs would grow with the square of the group."""
+    g = np.random.default_rng(7)
+    text = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        words = list(text)
+        for at in g.choice(300, 6, replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    tested, kept = [], jaccard.kept_by_prefix
+    monkeypatch.setattr(jaccard, "kept_by_prefix", lambda pairs, *rest: (tested.append(pairs.count()), kept(pairs, *rest))[1])
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(make(rows)).collect())
+    assert got == brute_components(rows)
+    assert tested[-1] <= 60
