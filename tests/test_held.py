@@ -13,8 +13,11 @@ from test_kernels import naive_prune
 from test_scale import counted
 
 from vecloom.operators import graph, prune
+from vecloom.operators import search
 from vecloom.operators.search import graph_search
 from vecloom.plans.arrays import pair_distance
+from vecloom.plans.held import Shelf, fetch_held, held_matrix, shelved
+from vecloom.plans.scratch import shared_dir
 from vecloom.sources import buckets, snapshot, truthfiles, vecfiles
 
 
@@ -88,6 +91,7 @@ sys.path.insert(0, {os.path.dirname(root)!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 spark.sparkContext.setCheckpointDir({str(tmp_path)!r})
+from vecloom.operators import search
 from vecloom.operators.search import graph_search
 points = spark.createDataFrame([(n, [float(n)]) for n in range(20)], "id long, vec array<double>")
 edges = spark.createDataFrame([(n, n + 1, 1.0) for n in range(19)], "src long, dst long, dist double")
@@ -154,3 +158,42 @@ def test_very_many_buckets_share_folders(spark, tmp_path, monkeypatch):
     got = {r.id: r.x for r in table.read(gens).collect()}
     assert got == {**{n: 2 * n for n in range(60) if n not in (4, 5)}, 3: 5}
     assert [r.x for r in table.matching(gens, rows.where("id = 3").select("id")).collect()] == [5]
+
+
+def test_an_index_of_over_a_quarter_million_points_is_still_held(spark):
+    rows = spark.range(300_000).select("id", F.array(F.col("id").cast("float")).alias("vec"))
+    table, order = fetch_held(rows, "vec")
+    assert table.num_rows == len(order) == 300_000
+
+
+def test_an_index_is_the_same_however_many_lists_are_read_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(search, "LISTS", 7)
+    nodes = spark.range(40).select("id", F.array(F.col("id").cast("float")).alias("payload")).repartition(5)
+    rows = [(s, [(s * k + 1) % 50 for k in range(s % 4)]) for s in [*range(45), 3, 11]]  # unknown ends and starts, two lists of one point
+    path, carriers = search._held_index(spark.createDataFrame(rows, "src long, nbrs array<long>").coalesce(1), nodes, False, 1000)
+    arrays = shelved(path)
+    assert carriers is None and arrays["ids"].tolist() == list(range(40)) and arrays["payload"].ravel().tolist() == list(range(40))
+    for n in range(40):
+        got = arrays["nbrs"][arrays["offsets"][n]:arrays["offsets"][n + 1]].tolist()
+        assert got == [d for s, nbrs in rows if s == n for d in nbrs if d < 40]
+
+
+def test_a_walk_leaves_no_index_behind(spark, points):
+    df, _, _ = points
+    edges = spark.range(299).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("dist"))
+    asked = df.where("id < 3").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    kept = f"{shared_dir(spark).removeprefix('file:')}/index-*"
+    before = glob(kept)
+    assert graph_search(edges, df, asked, df.where("id = 0").select("id"), 5, 12).results(5).count() == 15
+    assert glob(kept) == before
+
+
+def test_a_shelf_keeps_types_and_missing_values(spark):
+    shelf = Shelf(spark)
+    column = pa.chunked_array([pa.array([[1, 2], [3, 4]], pa.list_(pa.int8())), pa.array([[5, None]], pa.list_(pa.int8()))])
+    assert held_matrix(shelf, "whole", column.slice(0, 2), np.array([1, 0])).dtype == np.int8
+    held_matrix(shelf, "gap", column, np.array([2, 0, 1]))
+    assert held_matrix(shelf, "ragged", pa.chunked_array([pa.array([[1.0], [1.0, 2.0]])]), np.arange(2)) is None
+    arrays = shelved(shelf.close())
+    assert arrays["whole"].tolist() == [[3, 4], [1, 2]]
+    assert np.array_equal(arrays["gap"], [[5, np.nan], [1, 2], [3, 4]], equal_nan=True)
