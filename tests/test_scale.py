@@ -5,8 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.operators import evaluate, search
+from vecloom.operators import evaluate, pruned, search
 from vecloom.operators.ranges import range_join
+from vecloom.plans import arrays, blocks
 from vecloom.plans.arrays import Block, pair_distance
 
 
@@ -96,3 +97,19 @@ def test_a_query_meets_reached_rings_only(spark, monkeypatch):
     got = range_join(df, df.toDF("qid", "qvec"), 0.25 + 1e-9, centers=center).collect()
     assert len(got) == sum(abs(a - b) <= 5 for a in range(200) for b in range(200))
     assert met[0] < 0.3 * 200 * 200
+
+
+def test_hits_of_a_range_join_leave_in_parts(spark, points, monkeypatch):
+    """A wide ball holds every pair: the hits of a cell are never one table."""
+    df, x, _ = points
+    df, ids = df.select("id", "vec"), np.arange(300)
+    monkeypatch.setattr(arrays, "SCORE_CELLS", 2_000)
+    block = Block(ids, x, "l2")
+    parts = list(block.within_parts(ids, x, 1e9, skip_same=True))
+    assert len(parts) == 50 and max(len(d) for *_, d in parts) <= 2_000
+    assert sum(len(d) for *_, d in parts) == len(block.within(ids, x, 1e9, skip_same=True)[2]) == 300 * 299
+    assert sum(len(d) for *_, d in block.within_parts(ids, x, np.where(ids < 2, 1e9, -1.0))) == 2 * 300
+    monkeypatch.setattr(blocks, "BROADCAST_ROWS", 0)
+    found = range_join(df, df.toDF("qid", "qvec"), 1e9, skip_same=True)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 300 * 299
