@@ -113,3 +113,21 @@ def test_hits_of_a_range_join_leave_in_parts(spark, points, monkeypatch):
     found = range_join(df, df.toDF("qid", "qvec"), 1e9, skip_same=True)
     assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 300 * 299
+
+
+def test_pruned_neighbours_move_no_vectors_that_fit(spark, points, monkeypatch):
+    df = points[0].select("id", "vec")
+    asked = df.toDF("qid", "qvec")
+    scored, cells = [], pruned.cell_pairs
+    monkeypatch.setattr(pruned, "cell_pairs", lambda *a, **o: (scored.append(1), cells(*a, **o))[1])
+    runs = []
+    for fits in (True, False):
+        if not fits:
+            monkeypatch.setattr(pruned, "fetch_held", lambda *_: None)
+        for k, skip in ((1, False), (7, True), (400, True)):
+            found, work = pruned.pruned_knn(df, asked, k, skip_same=skip)
+            runs.append((sorted(map(tuple, found.collect())), work.first()))
+        assert len(scored) == (0 if fits else 6)
+    assert runs[:3] == runs[3:]
+    twice = pruned.pruned_knn(df.unionByName(df.where("id < 5")), asked, 3)[0]  # ids that repeat travel as before
+    assert len(scored) == 8 and twice.count() == 3 * df.count()
